@@ -90,15 +90,17 @@ def components(edges: DataFrame, workdir: str, limit: int = 60) -> DataFrame:
     """
     spark = edges.sparkSession
     at = f"{workdir}/cc"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = materialise(e, f"{at}-0")
     before = None
     for k in range(1, limit):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a"), F.least("a", "m").alias("m"))
+        low = low.repartition(parts)  # breaks the co-partitioning, so that the adaptive skew join may split a hot node
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        pairs = large.join(low, "a")
+        pairs = large.join(low.repartition(parts), "a")
         small = pairs.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b")
         small = small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         e = materialise(small, f"{at}-{k}")

@@ -12,6 +12,8 @@ _POW: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]  # powers of the base an
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: bytes between the letter-and-digit runs of a text (every non-ASCII byte counts as a letter)
+BREAK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -66,10 +68,10 @@ class Words:
     word (len rows + 1).
     """
 
-    def __init__(self, col, lower: bool = False):
+    def __init__(self, col, lower: bool = False, breaks: np.ndarray = SPACE):
         self.data, self.off = raw(col)
         b = self.data
-        space = SPACE[b]
+        space = breaks[b]
         begin = ~space
         begin[1:] &= space[:-1]
         edges = self.off[:-1][self.off[:-1] < len(b)]
