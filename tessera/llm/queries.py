@@ -19,6 +19,12 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sentencepiece
+
+    return sentencepiece.digest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import warc
 
@@ -76,7 +82,21 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_tokens(tokenfile.write_tokens(table(spark, sf_dir, "documents"), shared_dir(spark), tokenizer_path("word_bpe_49k.json"), 2))
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+
+    rows = chat.format_chats(table(spark, sf_dir, "conversations"), shared_dir(spark), TOOL_SCHEMAS)
+    return rows.select("conv_id", "turn", "role", "kind", "order_turn", "order_step", F.octet_length("json").cast("long").alias("json_bytes"), F.sha2("json", 256).alias("json_sha256"), "n_calls", "n_answered", "n_invalid", "linked", "cyclic")
+
+
+#: Tools that the corpus may call; a parameter.
+TOOL_SCHEMAS = {
+    "search": {"type": "object", "required": ["query"], "properties": {"query": {"type": "string"}, "limit": {"type": "integer", "minimum": 1}}, "additionalProperties": False},
+    "calculator": {"type": "object", "required": ["expression"], "properties": {"expression": {"type": "string"}}, "additionalProperties": False},
+}
+
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_warc": op2_warc,
     "op3_packing": op3_packing,
     "op4_language": op4_language,
@@ -85,6 +105,7 @@ QUERIES = {
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_quality": op8_quality,
     "op9_token_ids": op9_token_ids,
+    "op10_chat": op10_chat,
 }
 
 ORACLE_SQL = {
