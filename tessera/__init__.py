@@ -1,0 +1 @@
+"""tessera: a SQL analytics engine on Spark DataFrames, with training-data operators beside it."""

@@ -1,4 +1,6 @@
 """The registered queries of the relational engine and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import engine, joins, scalars, scans, sets, workloads  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
