@@ -16,9 +16,9 @@ import unicodedata
 
 import numpy as np
 
-WHITE = "\t-\r \x85\xa0  -     　"
-LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f᠎​﻿]")
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\u180e\u200b\u2060\ufeff]")
 
 
 def byte_alphabet() -> list[str]:
@@ -29,17 +29,25 @@ def byte_alphabet() -> list[str]:
 
 
 class _Cache(dict):
-    def __init__(self, make):
+    """Units' ids; when full, it becomes the older generation, from which units in use are taken over."""
+
+    def __init__(self, make, limit):
         super().__init__()
-        self.make = make
+        self.make, self.limit, self.older = make, limit, {}
 
     def __missing__(self, unit):
-        x = self[unit] = self.make(unit)
+        x = self.older.get(unit)
+        x = self[unit] = self.make(unit) if x is None else x
         return x
 
+    def turn(self):
+        if len(self) > self.limit:
+            self.older = dict(self)
+            self.clear()
+
 
 class Encoder:
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -54,12 +62,12 @@ class Encoder:
                 kind = "byte"
             elif norm and [n["type"] for n in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"] and pre["pretokenizers"][0].get("behavior") == "Removed":
                 kind = "word"
-        self.kind, self.limit, self.model = kind, limit, self.tok.model
+        self.kind, self.model = kind, self.tok.model
         self.table = byte_alphabet()
         lead = " ?" if kind == "byte" else ""
         self.units = re.compile(rf"{lead}[{LETTER}]+(?=[{WHITE}.,;:!?]|\Z)|{lead}[^{WHITE}]+" + (rf"|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+" if kind == "byte" else ""))
         self.simple = re.compile(rf"{lead}[{LETTER}]+")
-        self.cache = _Cache(self._unit)
+        self.cache = _Cache(self._unit, limit)
 
     def _unit(self, unit: str) -> bytes:
         if len(unit) < 64 and self.simple.fullmatch(unit):
@@ -76,8 +84,7 @@ class Encoder:
             return np.zeros(0, "<u4")
         if self.kind is None or any(s in text for s in self.special) or ODD.search(text):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
-        if len(self.cache) > self.limit:
-            self.cache.clear()
+        self.cache.turn()
         return np.frombuffer(b"".join(map(self.cache.__getitem__, self.units.findall(text))), "<u4")
 
 
