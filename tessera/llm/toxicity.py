@@ -88,20 +88,35 @@ def fit_weights(n: int, row: np.ndarray, col: np.ndarray, y: np.ndarray, dims: i
     """Logistic weights by accelerated gradient descent; swaps: (features lost, features gained) per counterfactual."""
     w, bias = np.zeros(dims), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
     v, vb = w.copy(), bias
-    per = np.bincount(col, minlength=dims) / max(n, 1)
-    lost = np.concatenate([a for a, _ in swaps]) if swaps else np.zeros(0, np.int64)
-    lost_at = np.repeat(np.arange(len(swaps)), [len(a) for a, _ in swaps]) if swaps else lost
-    won = np.concatenate([b for _, b in swaps]) if swaps else lost
-    won_at = np.repeat(np.arange(len(swaps)), [len(b) for _, b in swaps]) if swaps else lost
-    rate = 1.0 / (0.25 * max(1.0, np.bincount(row, minlength=n).max(initial=1)) * max(per.max(initial=0), 0.02) + l2 + counterfactual + 0.25)
+    none = np.zeros(0, np.int64)
+    lost = np.concatenate([a for a, _ in swaps]) if swaps else none
+    won = np.concatenate([b for _, b in swaps]) if swaps else none
+    lost_at = np.repeat(np.arange(len(swaps)), [len(a) for a, _ in swaps]) if swaps else none
+    won_at = np.repeat(np.arange(len(swaps)), [len(b) for _, b in swaps]) if swaps else none
+
+    def pull(v):
+        """Gradient of the mean squared change of score over the swaps."""
+        if not swaps:
+            return np.zeros(dims)
+        change = np.bincount(lost_at, weights=v[lost], minlength=len(swaps)) - np.bincount(won_at, weights=v[won], minlength=len(swaps))
+        change *= counterfactual / len(swaps)
+        return np.bincount(lost, weights=change[lost_at], minlength=dims) - np.bincount(won, weights=change[won_at], minlength=dims)
+
+    # the largest curvature, by power iteration, bounds the step
+    u, ub, top = np.ones(dims), 1.0, 1.0
+    for _ in range(50):
+        size = np.sqrt(u @ u + ub * ub)
+        u, ub = u / size, ub / size
+        s = ub + np.bincount(row, weights=u[col], minlength=n)
+        u, ub = np.bincount(col, weights=s[row], minlength=dims) * 0.25 / n + l2 * u + pull(u), 0.25 * s.mean()
+        top = np.sqrt(u @ u + ub * ub)
+        if not top:
+            break
+    rate = 1.0 / (1.1 * top + 1e-9)
     for k in range(steps):
         s = vb + np.bincount(row, weights=v[col], minlength=n)
         g = 1 / (1 + np.exp(-np.clip(s, -40, 40))) - y
-        grad = np.bincount(col, weights=g[row], minlength=dims) / n + l2 * v
-        if swaps:
-            change = np.bincount(lost_at, weights=v[lost], minlength=len(swaps)) - np.bincount(won_at, weights=v[won], minlength=len(swaps))
-            change *= counterfactual / len(swaps)
-            grad += np.bincount(lost, weights=change[lost_at], minlength=dims) - np.bincount(won, weights=change[won_at], minlength=dims)
+        grad = np.bincount(col, weights=g[row], minlength=dims) / n + l2 * v + pull(v)
         new, new_bias = v - rate * grad, vb - rate * g.mean()
         m = k / (k + 3)
         v, vb = new + m * (new - w), new_bias + m * (new_bias - bias)
