@@ -172,13 +172,13 @@ class Engine:
                     now, then = state["tables"].get(name), s.base["tables"].get(name)
                     if (now or {}).get("version") != (then or {}).get("version"):
                         raise ConflictError(f"{name} was changed by another transaction")
+                state["version"] = max(state["version"], s.draft["version"]) + 1
                 for name in s.written:
                     if name in s.draft["tables"]:
-                        state["tables"][name] = s.draft["tables"][name]
+                        state["tables"][name] = s.draft["tables"][name] | {"version": state["version"]}
                     else:
                         state["tables"].pop(name, None)
                 if s.written:
-                    state["version"] += 1
                     self.catalog.save(state)
             finally:
                 s.draft = s.base = None
