@@ -4,11 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+_SCHEMAS: dict[tuple, StructType] = {}
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table whose schema is inferred (a Spark job) once per path and modification time."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    status = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p)
+    key = (path, status.getModificationTime(), status.getLen())
+    if key not in _SCHEMAS:
+        if len(_SCHEMAS) > 1000:
+            _SCHEMAS.clear()
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 def scan(spark: SparkSession, sf_dir: str, table: str, columns: list[str] | None = None, where: Column | None = None) -> DataFrame:
     """A table of `sf_dir`; columns and predicate reach the Parquet scan."""
-    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = read_parquet(spark, f"{sf_dir}/{table}.parquet")
     if where is not None:
         df = df.where(where)
     return df.select(*columns) if columns else df
