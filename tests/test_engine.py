@@ -208,3 +208,20 @@ def test_explain_statistics_cache(eng):
     assert eng.sql("SELECT COUNT(*) AS n FROM t") is a and eng.metrics.hits == 1
     eng.sql("DELETE FROM t WHERE id = 1")
     assert rows(eng.sql("SELECT COUNT(*) AS n FROM t")) == [(2,)]
+
+
+def test_command_line(eng, capsys):
+    from tessera.__main__ import run_line, scrub
+
+    fill(eng, "t", "id BIGINT PRIMARY KEY, v TEXT", "(1,NULL)")
+    assert run_line(eng, "SELECT id, v FROM t") and run_line(eng, "\\explain SELECT id FROM t") and run_line(eng, "\\help") and run_line(eng, "\\metrics")
+    text = capsys.readouterr().out
+    assert "1\t[NULL]" in text and "Statistics" in text and "tessera_queries_total" in text
+    assert not run_line(eng, "\\q") and scrub(eng) == []
+
+
+def test_deadline(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "d"), deadline=0.3)
+    e.sql("SELECT 1 AS x")
+    with pytest.raises(Exception):
+        e.sql("ANALYZE TABLE missing")
