@@ -1,8 +1,7 @@
 """SentencePiece encoding and decoding in numpy, from a model file's pieces and scores.
 
-White space becomes the mark U+2581 and a text is cut before each run of marks; no piece
-holds a mark after another character, so these words are segmented independently, each
-distinct word once per batch. Words of equal length advance together: at each end position
+White space becomes the mark U+2581 and a text is cut where no piece holds the two characters
+side by side (before a run of marks, and between a letter and most signs), so these words are segmented independently, each distinct word once. Words of equal length advance together: at each end position
 the hashes of all substrings that end there are looked up in the sorted hashes of the
 pieces, and the best of (score of the prefix + score of the piece) and its start are stored
 as back-pointers. Characters outside the vocabulary become byte pieces (or the unknown id).
@@ -23,6 +22,7 @@ other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 import re
 import struct
 import zlib
@@ -33,8 +33,9 @@ from pyspark.sql import DataFrame
 
 from .common import ship
 from .textops import U, mix, slices
+from .tokens import LETTER
 
-MARK = "▁"
+MARK = "\u2581"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values of the model format
 UNIGRAM, BPE = 1, 2
 LONG = 48  # longer words are handled one by one
@@ -274,13 +275,59 @@ def merge_long(model: Model, word: str) -> list[int]:
     return out
 
 
+class _Lexicon:
+    """Known words and, per method, their ids in one growing array."""
+
+    def __init__(self, methods: int):
+        self.at: dict[str, int] = {}
+        self.flat = [np.zeros(1 << 16, "<u4") for _ in range(methods)]
+        self.ends = [np.zeros(1 << 14, np.int64) for _ in range(methods)]  # end of word k's ids at k + 1
+
+    def add(self, words: list[str], ids: list[np.ndarray], sizes: list[np.ndarray]) -> None:
+        """Append words; ids and sizes per method, the words' ids one after another."""
+        n = len(self.at)
+        for k, (x, size) in enumerate(zip(ids, sizes)):
+            begin = int(self.ends[k][n])
+            while n + len(words) + 1 > len(self.ends[k]):
+                self.ends[k] = np.concatenate([self.ends[k], np.zeros_like(self.ends[k])])
+            while begin + len(x) > len(self.flat[k]):
+                self.flat[k] = np.concatenate([self.flat[k], np.zeros_like(self.flat[k])])
+            self.flat[k][begin : begin + len(x)] = x
+            self.ends[k][n + 1 : n + 1 + len(words)] = begin + np.cumsum(size)
+        self.at.update(zip(words, range(n, n + len(words))))
+
+    def gather(self, index: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words one after another, number of ids per word) under method k."""
+        begin = self.ends[k][index]
+        size = self.ends[k][index + 1] - begin
+        stop = np.cumsum(size)
+        at = np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(begin - (stop - size), size)
+        return self.flat[k][at], size
+
+
 class Codec:
-    def __init__(self, data: bytes, method: str = "auto", limit: int = 400_000):
-        self.model = Model(data)
-        self.method = method if method != "auto" else ("bpe" if self.model.kind == BPE else "viterbi")
-        self.limit, self.known, self.older = limit, {}, {}  # two generations of segmented words
-        # a run of marks belongs to the word after it
-        self.words = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+    """Encoder and decoder of a model file for one or more methods ("auto", "bpe", "viterbi")."""
+
+    def __init__(self, data: bytes, *methods: str, limit: int = 400_000):
+        m = self.model = Model(data)
+        own = "bpe" if m.kind == BPE else "viterbi"
+        self.methods = [own if x == "auto" else x for x in methods or ("auto",)]
+        self.limit, self.now, self.older = limit, _Lexicon(len(self.methods)), _Lexicon(len(self.methods))
+        # Text is cut where no piece holds the two characters side by side: before a run of
+        # marks, and between a letter and a sign that follows no letter inside a piece.
+        letter = re.compile(f"[{LETTER}]")
+        signs, whole = set(".,!?;:\n*$%&#()\"'-"), True
+        for p in m.by_text:
+            for x, y in zip(p, p[1:]):
+                whole &= y != MARK or x == MARK
+                if y in signs and letter.match(x):
+                    signs.discard(y)
+        if not whole:
+            raise ValueError("pieces with a mark after another character are not supported")
+        after = "".join(re.escape(x) for x in sorted(signs))
+        self.words = re.compile(f"{MARK}*[{LETTER}]+(?=[{after}{MARK}]|\\Z)|{MARK}+[^{MARK}]*|[^{MARK}]+")
+        back = {k: b for b, k in m.bytes.items()}
+        self.spelled = [bytes([back[k]]) if k in back else b"" if m.types[k] == CONTROL else " \u2047 ".encode() if k == m.unknown else p.replace(MARK, " ").encode("utf-8", "surrogatepass") for k, p in enumerate(m.pieces)]
 
     def normalise(self, text: str) -> str:
         m = self.model
@@ -292,33 +339,6 @@ class Codec:
             text = " " + text
         return text.replace(" ", MARK) if m.escape else text
 
-    def _learn(self, words: list[str]) -> None:
-        """Segment new words, those of one length together."""
-        by: dict[int, list[str]] = {}
-        for w in words:
-            by.setdefault(len(w), []).append(w)
-        for size, own in by.items():
-            if size > LONG and self.method == "bpe":
-                for w in own:
-                    self.known[w] = np.array(self._ids(w, merge_long(self.model, w)), "<u4").tobytes()
-                continue
-            step = max(1, 400_000 // size)
-            for k in range(0, len(own), step):
-                part = own[k : k + step]
-                m = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), size).astype(U)
-                paths, sizes = (viterbi if self.method == "viterbi" else merge)(self.model, m)
-                inside = np.arange(size)[None, :] < sizes[:, None]
-                odd = ((paths < 0) & inside).any(1)
-                data = paths[inside].astype("<u4").tobytes()
-                ends = (np.cumsum(sizes) * 4).tolist()
-                begin = 0
-                for w, end, other in zip(part, ends, odd.tolist()):
-                    if not other:
-                        self.known[w] = data[begin:end]
-                    begin = end
-                for r in np.flatnonzero(odd):
-                    self.known[part[r]] = np.array(self._ids(part[r], paths[r, : sizes[r]].tolist()), "<u4").tobytes()
-
     def _ids(self, word: str, path: list[int]) -> list[int]:
         out, unknown = [], False
         for p in path:
@@ -332,63 +352,90 @@ class Codec:
                 unknown = True
         return out
 
+    def _segment(self, words: list[str], matrix: np.ndarray, method: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, ids per word) of words of one length."""
+        size = matrix.shape[1]
+        if method == "bpe" and size > LONG:
+            own = [self._ids(w, merge_long(self.model, w)) for w in words]
+            return np.array([i for x in own for i in x], "<u4"), np.array([len(x) for x in own])
+        paths, sizes = (viterbi if method == "viterbi" else merge)(self.model, matrix)
+        inside = np.arange(size)[None, :] < sizes[:, None]
+        odd = np.flatnonzero(((paths < 0) & inside).any(1))
+        if not len(odd):
+            return paths[inside].astype("<u4"), sizes
+        own = [self._ids(words[r], paths[r, : sizes[r]].tolist()) for r in odd]
+        plain = np.ones(len(words), bool)
+        plain[odd] = False
+        total = sizes.copy()
+        total[odd] = [len(x) for x in own]
+        flat, ends = np.zeros(int(total.sum()), "<u4"), np.cumsum(total)
+        flat[np.repeat(plain, total)] = paths[inside & plain[:, None]]
+        for r, x in zip(odd, own):
+            flat[ends[r] - len(x) : ends[r]] = x
+        return flat, total
+
+    def _learn(self, words: list[str]) -> None:
+        """Segment new words, those of one length together."""
+        by: dict[int, list[str]] = {}
+        for w in words:
+            by.setdefault(len(w), []).append(w)
+        for size, own in by.items():
+            step = max(1, 400_000 // size)
+            for k in range(0, len(own), step):
+                part = own[k : k + step]
+                m = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), size).astype(U)
+                self.now.add(part, *zip(*[self._segment(part, m, x) for x in self.methods]))
+
+    def index(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(lexicon place of every word of the normalised texts, words per text)."""
+        if len(self.now.at) > self.limit:
+            self.now, self.older = _Lexicon(len(self.methods)), self.now
+        split = [self.words.findall(t) for t in texts]
+        counts = np.array([len(x) for x in split], np.int64)
+        flat = list(itertools.chain.from_iterable(split))
+        new = set(flat).difference(self.now.at)
+        if not new:
+            return np.fromiter(map(self.now.at.__getitem__, flat), np.int64, len(flat)), counts
+        again = [w for w in new if w in self.older.at]
+        if again:
+            at = np.fromiter(map(self.older.at.__getitem__, again), np.int64, len(again))
+            self.now.add(again, *zip(*[self.older.gather(at, k) for k in range(len(self.methods))]))
+            new.difference_update(again)
+        self._learn(list(new))
+        return np.fromiter(map(self.now.at.__getitem__, flat), np.int64, len(flat)), counts
+
+    def encode_all(self, texts: list[str | None]) -> list[list[np.ndarray]]:
+        """Per method, the ids of every text."""
+        index, counts = self.index([self.normalise(t) if t else "" for t in texts])
+        out = []
+        ends = np.cumsum(counts)
+        for k in range(len(self.methods)):
+            ids, size = self.now.gather(index, k)
+            at = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], ends])]
+            out.append([ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())])
+        return out
+
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.known) > self.limit:
-            self.known, self.older = {}, self.known
-        split = [self.words.findall(self.normalise(t)) if t else [] for t in texts]
-        new = {w for s in split for w in s}
-        new.difference_update(self.known)
-        again = new.intersection(self.older)
-        self.known.update((w, self.older[w]) for w in again)
-        new -= again
-        if new:
-            self._learn(list(new))
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, s)), "<u4") for s in split]
+        return self.encode_all(texts)[0]
 
-    def decode(self, ids: np.ndarray) -> str:
-        """Text of ids: byte pieces are joined to characters, marks are spaces, the leading mark goes."""
-        m, out, held = self.model, [], bytearray()
-        back = {k: b for b, k in m.bytes.items()}
-        for i in ids.tolist():
-            if i in back:
-                held.append(back[i])
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held = bytearray()
-            if m.types[i] != CONTROL:
-                out.append(" ⁇ " if i == m.unknown else m.pieces[i])
-        if held:
-            out.append(held.decode("utf-8", "replace"))
-        text = "".join(out).replace(MARK, " ")
-        return text[1:] if m.prefix and text.startswith(" ") else text
-
-
-class Decoder:
-    """Vectorised decoding to UTF-8: pieces' bytes lie in one array, a text's are gathered by offsets."""
-
-    def __init__(self, codec: Codec):
-        m = codec.model
-        self.prefix = m.prefix
-        own = []
-        back = {k: b for b, k in m.bytes.items()}
-        for k, p in enumerate(m.pieces):
-            own.append(bytes([back[k]]) if k in back else b"" if m.types[k] == CONTROL else " ⁇ ".encode() if k == m.unknown else p.replace(MARK, " ").encode())
-        self.own = own
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        """UTF-8 of ids: byte pieces stand for themselves, marks are spaces, the leading space goes."""
+        data = b"".join(map(self.spelled.__getitem__, ids.tolist()))
+        return data[1:] if self.model.prefix and data[:1] == b" " else data
 
-    def __call__(self, ids: np.ndarray) -> bytes:
-        data = b"".join(map(self.own.__getitem__, ids.tolist()))
-        return data[1:] if self.prefix and data[:1] == b" " else data
+    def decode(self, ids: np.ndarray) -> str:
+        return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+_CODECS: dict[tuple, Codec] = {}
 
 
-def codec(path: str, method: str = "auto") -> Codec:
-    if (path, method) not in _CODECS:
+def codec(path: str, *methods: str) -> Codec:
+    """One codec per worker process, file and methods."""
+    if (path, methods) not in _CODECS:
         with open(path, "rb") as f:
-            _CODECS[path, method] = Codec(f.read(), method)
-    return _CODECS[path, method]
+            _CODECS[path, methods] = Codec(f.read(), *methods)
+    return _CODECS[path, methods]
 
 
 def encode(docs: DataFrame, path: str, method: str = "auto") -> DataFrame:
@@ -399,7 +446,7 @@ def encode(docs: DataFrame, path: str, method: str = "auto") -> DataFrame:
         c = codec(path, method)
         for b in batches:
             text = b.column("text")
-            for lo, hi in slices(text):
+            for lo, hi in slices(text, 1 << 20):
                 ids = c.encode_batch(text.slice(lo, hi - lo).to_pylist())
                 offsets = np.zeros(len(ids) + 1, np.int32)
                 np.cumsum([len(x) for x in ids], out=offsets[1:])
@@ -414,9 +461,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     ship(encoded.sparkSession)
 
     def run(batches):
-        d = Decoder(codec(path))
+        c = codec(path)
         for b in batches:
-            out = [d(np.array(x or [], np.int64)).decode("utf-8", "replace") for x in b.column("ids").to_pylist()]
+            out = [c.decode(np.array(x or [], np.int64)) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])
 
     return encoded.selectExpr("cast(doc_id as long) doc_id", "ids").mapInArrow(run, "doc_id long, text string")
@@ -430,17 +477,15 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches):
-        own, best = codec(path, "auto"), codec(path, "viterbi")
-        d = Decoder(own)
+        c = codec(path, "auto", "viterbi")
         for b in batches:
             text = b.column("text")
-            for lo, hi in slices(text):
+            for lo, hi in slices(text, 1 << 20):
                 texts = text.slice(lo, hi - lo).to_pylist()
-                a, v = own.encode_batch(texts), best.encode_batch(texts)
-                want = [(own.normalise(t) if t else "").replace(MARK, " ").encode("utf-8", "surrogatepass") for t in texts]
-                want = [w[1:] if d.prefix and w[:1] == b" " else w for w in want]
-                cols = [[len(x) for x in a], [zlib.crc32(x.tobytes()) for x in a], [len(x) for x in v], [zlib.crc32(x.tobytes()) for x in v], [len(w) for w in want]]
-                ok = [d(x) == w == d(y) for x, y, w in zip(a, v, want)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), *[pa.array(c, pa.int64()) for c in cols], pa.array(ok, pa.bool_())], [x.split()[0] for x in DIGEST.split(", ")])
+                own, best = c.encode_all(texts)
+                want = [((t if not c.model.squeeze else c.normalise(t).replace(MARK, " ").lstrip(" ")) if t else "").replace(MARK, " ").encode("utf-8", "surrogatepass") for t in texts]
+                cols = [[len(x) for x in own], [zlib.crc32(x.tobytes()) for x in own], [len(x) for x in best], [zlib.crc32(x.tobytes()) for x in best], [len(w) for w in want]]
+                ok = [c.decode_bytes(x) == w == c.decode_bytes(y) for x, y, w in zip(own, best, want)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), *[pa.array(x, pa.int64()) for x in cols], pa.array(ok, pa.bool_())], [x.split()[0] for x in DIGEST.split(", ")])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, DIGEST)
