@@ -85,9 +85,8 @@ def identity_features(terms: list[str]) -> list[np.ndarray]:
 
 
 def fit_weights(n: int, row: np.ndarray, col: np.ndarray, y: np.ndarray, dims: int, swaps: list[tuple[np.ndarray, np.ndarray]], l2: float, counterfactual: float, steps: int) -> tuple[np.ndarray, float]:
-    """Logistic weights by accelerated gradient descent; swaps: (features lost, features gained) per counterfactual."""
+    """Logistic weights by Newton's method with conjugate gradients; swaps: (features lost, features gained) per counterfactual."""
     w, bias = np.zeros(dims), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
-    v, vb = w.copy(), bias
     none = np.zeros(0, np.int64)
     lost = np.concatenate([a for a, _ in swaps]) if swaps else none
     won = np.concatenate([b for _, b in swaps]) if swaps else none
@@ -102,29 +101,40 @@ def fit_weights(n: int, row: np.ndarray, col: np.ndarray, y: np.ndarray, dims: i
         change *= counterfactual / len(swaps)
         return np.bincount(lost, weights=change[lost_at], minlength=dims) - np.bincount(won, weights=change[won_at], minlength=dims)
 
-    # the largest curvature, by power iteration, bounds the step
-    u, ub, top = np.ones(dims), 1.0, 1.0
-    for _ in range(50):
-        size = np.sqrt(u @ u + ub * ub)
-        u, ub = u / size, ub / size
-        s = ub + np.bincount(row, weights=u[col], minlength=n)
-        u, ub = np.bincount(col, weights=s[row], minlength=dims) * 0.25 / n + l2 * u + pull(u), 0.25 * s.mean()
-        top = np.sqrt(u @ u + ub * ub)
-        if not top:
+    def value(w, bias):
+        s = bias + np.bincount(row, weights=w[col], minlength=n)
+        return float((np.logaddexp(0, s) - y * s).mean() + 0.5 * (l2 * w @ w + w @ pull(w)))
+
+    now = value(w, bias)
+    for _ in range(steps):
+        s = bias + np.bincount(row, weights=w[col], minlength=n)
+        p = 1 / (1 + np.exp(-np.clip(s, -40, 40)))
+        g, gb = np.bincount(col, weights=(p - y)[row], minlength=dims) / n + l2 * w + pull(w), float((p - y).mean())
+        curve = p * (1 - p) / n + 1e-12
+        # the Newton step, by conjugate gradients
+        x, xb, r, rb = np.zeros(dims), 0.0, -g, -gb
+        d, db, rr = r.copy(), rb, r @ r + rb * rb
+        first = rr
+        for _ in range(200):
+            if rr <= 1e-6 * first or rr < 1e-24:
+                break
+            t = curve * (db + np.bincount(row, weights=d[col], minlength=n))
+            h, hb = np.bincount(col, weights=t[row], minlength=dims) + l2 * d + pull(d), float(t.sum())
+            a = rr / (d @ h + db * hb)
+            x, xb, r, rb = x + a * d, xb + a * db, r - a * h, rb - a * hb
+            new = r @ r + rb * rb
+            d, db, rr = r + new / rr * d, rb + new / rr * db, new
+        size, slope = 1.0, g @ x + gb * xb
+        while size > 1e-6 and value(w + size * x, bias + size * xb) > now + 1e-4 * size * slope:
+            size /= 2
+        w, bias = w + size * x, bias + size * xb
+        before, now = now, value(w, bias)
+        if before - now <= 1e-10 * max(1.0, now):
             break
-    rate = 1.0 / (1.1 * top + 1e-9)
-    for k in range(steps):
-        s = vb + np.bincount(row, weights=v[col], minlength=n)
-        g = 1 / (1 + np.exp(-np.clip(s, -40, 40))) - y
-        grad = np.bincount(col, weights=g[row], minlength=dims) / n + l2 * v + pull(v)
-        new, new_bias = v - rate * grad, vb - rate * g.mean()
-        m = k / (k + 3)
-        v, vb = new + m * (new - w), new_bias + m * (new_bias - bias)
-        w, bias = new, new_bias
     return w, bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, workdir: str, sample_docs: int = 12_000, max_features: int = 50_000, z: float = 7.0, l2: float = 2e-5, counterfactual: float = 1.0, steps: int = 1500, terms: list[str] | None = None) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, workdir: str, sample_docs: int = 12_000, max_features: int = 50_000, z: float = 7.0, l2: float = 5e-7, counterfactual: float = 1.0, steps: int = 40, terms: list[str] | None = None) -> dict:
     """Model dict: keys (sorted feature hashes), weights, bias."""
     spark = docs.sparkSession
     ship(spark)
