@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard, langid, packing, toxicity
-from tessera.llm.common import materialise, shared_dir, table
+from tessera.llm.common import bit_table, by_bits, materialise, shared_dir, table
 
 #: SQL expresses neither classifier nor the packing; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -41,13 +41,15 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Of each group of linked documents the one with the smallest doc_id stays; of rows that repeat a doc_id, one."""
     folder = shared_dir(spark)
     groups = materialise(jaccard.join(docs, folder, percent=90, k=3), f"{folder}/groups")
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    gone = materialise(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), f"{folder}/gone")
+    # most documents are known to stay by a bitmap of fixed size and need no shuffle
+    bits = bit_table(gone, "__gone", f"{folder}/gone-bits")
+    kept = by_bits(docs, "doc_id", bits, True).join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").unionByName(by_bits(docs, "doc_id", bits, False))
     twice = materialise(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice")), f"{folder}/twice")
     if twice.isEmpty():
         return kept
-    once = kept.join(twice, kept["doc_id"] == twice["__twice"], "left_anti")
-    return once.unionByName(kept.join(twice, kept["doc_id"] == twice["__twice"], "left_semi").dropDuplicates(["doc_id"]))
+    once = kept.join(twice, F.col("doc_id") == F.col("__twice"), "left_anti")
+    return once.unionByName(kept.join(twice, F.col("doc_id") == F.col("__twice"), "left_semi").dropDuplicates(["doc_id"]))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

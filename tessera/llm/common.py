@@ -81,6 +81,35 @@ def crc_of_id(col: str):
     return F.crc32(F.col(col).cast("string").cast("binary"))
 
 
+BITS = 26  # bits of a membership bitmap: 8 MB, whatever the data
+
+
+def bit_table(values: DataFrame, column: str, path: str) -> DataFrame:
+    """Bitmap of the hashed values of a column, as 1024 rows of 1024 words.
+
+    The bound is fixed, so it may be broadcast. It only sorts out rows that cannot match
+    before a shuffle: rows it lets through still meet an exact join, so a full bitmap (very
+    many values) costs a larger shuffle and never changes a result.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    h = f"(xxhash64(cast({column} as bigint)) & {(1 << BITS) - 1}L)"
+    words = values.selectExpr(f"shiftright({h}, 6) as w", f"shiftleft(1L, cast({h} & 63L as int)) as b").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # 2 ** 20 words at most
+    full = np.zeros(1 << (BITS - 6), np.int64)
+    full[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    rows = pa.table({"__bucket": np.arange(1 << (BITS - 16), dtype=np.int64), "__words": pa.FixedSizeListArray.from_arrays(pa.array(full), 1 << 10).cast(pa.list_(pa.int64()))})
+    return materialise(values.sparkSession.createDataFrame(rows), path)
+
+
+def by_bits(df: DataFrame, column: str, bits: DataFrame, present: bool) -> DataFrame:
+    """Rows whose value may be among the bitmap's values (present), or cannot be."""
+    d = df.withColumn("__h", F.expr(f"xxhash64(cast({column} as bigint)) & {(1 << BITS) - 1}L")).withColumn("__bucket", F.expr("shiftright(__h, 16)"))
+    d = d.join(F.broadcast(bits), "__bucket")
+    bit = F.expr("shiftright(__words[cast(shiftright(__h, 6) & 1023L as int)], cast(__h & 63L as int)) & 1L")
+    return d.where(bit == (1 if present else 0)).drop("__h", "__bucket", "__words")
+
+
 def components(edges: DataFrame, workdir: str, limit: int = 60) -> DataFrame:
     """Connected components of edges (a long, b long): rows (node, component = smallest node).
 

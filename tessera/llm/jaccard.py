@@ -13,7 +13,8 @@ Steps, all over whole texts:
 2. Copies collapse: sets equal in fingerprint are one node from here on.
 3. Keys held by more than one fingerprint tie their holders to the smallest of them; the
    components of these ties are candidate groups (a superset of the links).
-4. Only candidates' texts are fetched again. A group goes to one tile; a large group is cut
+4. Only candidates' texts are fetched again (a bitmap of fixed size sorts most others out
+   before the join). A group goes to one tile; a large group is cut
    by size band (ratio 1.12, only equal and adjacent bands meet) and into chunks, and each
    pair of chunks is a tile of bounded size. In a tile, hashed bitmap signatures bound the
    overlap from above by bit counts; survivors are intersected exactly as sorted arrays. Pairs
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise, ship
+from .common import bit_table, by_bits, components, materialise, ship
 from .textops import U, Words, mix, shingles, slices
 
 FEATURES = "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>"
@@ -225,12 +226,13 @@ def join(docs: DataFrame, workdir: str, percent: int = 90, k: int = 3) -> DataFr
 
     keyed = feats.where("doc_id is not null").select(F.explode("keys").alias("key"), "f1")
     shared = materialise(keyed.groupBy("key").agg(F.min("f1").alias("low"), F.max("f1").alias("high")).where("low <> high").select("key", "low"), f"{workdir}/shared")
-    ties = keyed.join(shared, "key").where("f1 <> low").select(F.col("f1").alias("a"), F.col("low").alias("b")).distinct()
+    ties = by_bits(keyed, "key", bit_table(shared, "key", f"{workdir}/shared-bits"), True).join(shared, "key").where("f1 <> low").select(F.col("f1").alias("a"), F.col("low").alias("b")).distinct()
     groups = components(ties, f"{workdir}/ties").select(F.col("node").alias("f1"), F.col("component").alias("grp"))
     cand = reps.join(groups, "f1").select(F.col("rep").alias("doc_id"), "n_shingles", "f1", "f2", "grp")
 
     tiles = _tiles(cand.select("doc_id", "grp", "n_shingles"), workdir)
-    texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(tiles, "doc_id")
+    texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    texts = by_bits(texts, "doc_id", bit_table(tiles.select("doc_id"), "doc_id", f"{workdir}/tile-bits"), True).join(tiles, "doc_id")
 
     def sets(batches):
         for b in batches:
