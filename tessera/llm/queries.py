@@ -138,4 +138,32 @@ ORACLE_SQL = {
                (mask & 3) <> 0 AS base_failed, (mask & 127) = 0 AS kept, CAST(mask AS BIGINT) failed_mask
         FROM b
     """,
+    "op6_ngram_jaccard": r"""
+        WITH RECURSIVE
+             d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w FROM documents),
+             s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                                                       WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) g FROM d),
+             n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+             p AS (SELECT a.doc_id x, b.doc_id y, count(*) i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+             l AS (SELECT x, y FROM p JOIN n u ON u.doc_id = x JOIN n v ON v.doc_id = y WHERE 100 * i >= 90 * (u.n + v.n - i)),
+             e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+             r(node, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.node, e.y FROM r JOIN e ON e.x = r.reached)
+        SELECT node AS doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(reached) AS component_id
+        FROM r LEFT JOIN n ON n.doc_id = r.node GROUP BY node
+    """,
+    "op7_embedding_dedup": """
+        WITH RECURSIVE
+             v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) e FROM embeddings),
+             l AS (SELECT a.vec_id x, b.vec_id y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+             r(node, reached) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.node, l.y FROM r JOIN l ON l.x = r.reached),
+             c AS (SELECT node, min(reached) component_id FROM r GROUP BY node)
+        SELECT node AS vec_id, (SELECT count(*) FROM l WHERE l.x = c.node) AS n_links, component_id, node = component_id AS kept FROM c
+    """,
+    # as long as no message holds a tool call; calls and their linking are tested by brute force
+    "op10_chat": """
+        WITH m AS (SELECT *, '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || ',"turn":' || coalesce(CAST(turn AS VARCHAR), 'null') || '}' j FROM conversations)
+        SELECT conv_id, turn, role, 'plain' AS kind, turn AS order_turn, CAST(0 AS BIGINT) AS order_step, strlen(j) AS json_bytes, sha256(j) AS json_sha256,
+               CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_answered, CAST(0 AS BIGINT) AS n_invalid, false AS linked, false AS cyclic
+        FROM m
+    """,
 }
