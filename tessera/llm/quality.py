@@ -27,7 +27,7 @@ RULES: list[tuple[str, str]] = [
     ("few_words", "n_words < 50"),
     ("repeated_words", "100 * n_repeat_words > 50 * n_words"),
     ("many_symbols", "10 * n_symbols > n_words"),
-    ("duplicate_lines", "100 * n_dup_lines > 30 * n_lines"),
+    ("duplicate_lines", "n_dup_lines > 2 and 100 * n_dup_lines > 30 * n_lines"),  # one repeated line of three says little
     ("short_words", "word_chars < 2 * n_words"),
     ("long_words", "word_chars > 15 * n_words"),
     ("many_digits", "100 * n_digits > 30 * word_chars"),

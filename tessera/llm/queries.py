@@ -130,7 +130,7 @@ ORACLE_SQL = {
                    FROM d LEFT JOIN c ON c.doc_id = d.doc_id),
              x AS (SELECT *, len(l) n_lines, len(l) - len(list_distinct(l)) n_dup_lines FROM m),
              b AS (SELECT *, CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
-                          + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
+                          + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN n_dup_lines > 2 AND 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
                           + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 15 * n_words THEN 32 ELSE 0 END
                           + CASE WHEN 100 * n_digits > 30 * word_chars THEN 64 ELSE 0 END + CASE WHEN n_words > 10000000 THEN 128 ELSE 0 END AS mask FROM x)
         SELECT doc_id, CAST(n_words AS BIGINT) n_words, CAST(word_chars AS BIGINT) word_chars, CAST(n_symbols AS BIGINT) n_symbols,
