@@ -50,7 +50,7 @@ class Catalog:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
-        fc = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._file(name).toUri(), self._conf) if "://" in self.path else self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._conf)
+        fc = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.makeQualified(self._file(name)).toUri(), self._conf)
         option = self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename").getEnumConstants()[1]  # OVERWRITE
         options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
         options[0] = option

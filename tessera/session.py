@@ -51,7 +51,7 @@ class Engine:
         self.sessions: dict = {}
         self.default_role, self.deadline = role, deadline
         self.metrics, self.limiter = Metrics(), RateLimiter(qps, burst)
-        if audit_path is None and "://" not in path:
+        if audit_path is None and ":" not in path.split("/")[0]:
             audit_path = os.path.join(path, "audit", "audit.log")
         self.audit = AuditLog(audit_path) if audit_path else None
         self.statistics: dict[str, dict] = {}
