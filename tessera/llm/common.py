@@ -12,11 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+ARROW_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application, so that workers import it anywhere."""
+    """Give the executors this package, once per application, so that workers import it anywhere.
+
+    Also lowers the session's Arrow batches from the default of 64 MB to 4 MB, which bounds
+    the memory that a batch of long texts takes on both sides of the pipe.
+    """
     sc = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b") or 0) > ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     if sc.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -34,6 +41,40 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+_CACHES: dict[str, object] = {}  # this process's caches by operator: functions that empty them
+_NOW: list[str] = [""]
+
+
+def trim() -> None:
+    """Give freed memory back to the system (glibc keeps large freed blocks otherwise)."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)  # fixed values: M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
+        libc.mallopt(-1, 1 << 20)
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def enter(operator: str, empty=None) -> None:
+    """Called where a task of an operator begins: Python workers outlive stages, so what another operator has cached goes first."""
+    if empty is not None:
+        _CACHES[operator] = empty
+    if _NOW[0] != operator:
+        for name in list(_CACHES):
+            if name != operator:
+                _CACHES.pop(name)()
+        _NOW[0] = operator
+        trim()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
@@ -84,30 +125,28 @@ def crc_of_id(col: str):
 BITS = 26  # bits of a membership bitmap: 8 MB, whatever the data
 
 
+def _hashed(column: str) -> str:
+    return f"(xxhash64(cast({column} as bigint)) & {(1 << BITS) - 1}L)"
+
+
 def bit_table(values: DataFrame, column: str, path: str) -> DataFrame:
-    """Bitmap of the hashed values of a column, as 1024 rows of 1024 words.
+    """Bitmap of the hashed values of a column, as at most 2048 rows of 4 KB.
 
     The bound is fixed, so it may be broadcast. It only sorts out rows that cannot match
     before a shuffle: rows it lets through still meet an exact join, so a full bitmap (very
     many values) costs a larger shuffle and never changes a result.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    h = f"(xxhash64(cast({column} as bigint)) & {(1 << BITS) - 1}L)"
-    words = values.selectExpr(f"shiftright({h}, 6) as w", f"shiftleft(1L, cast({h} & 63L as int)) as b").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # 2 ** 20 words at most
-    full = np.zeros(1 << (BITS - 6), np.int64)
-    full[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
-    rows = pa.table({"__bucket": np.arange(1 << (BITS - 16), dtype=np.int64), "__words": pa.FixedSizeListArray.from_arrays(pa.array(full), 1 << 10).cast(pa.list_(pa.int64()))})
-    return materialise(values.sparkSession.createDataFrame(rows), path)
+    bits = values.selectExpr(f"{_hashed(column)} as h").groupBy(F.expr("shiftright(h, 15)").alias("__bucket")).agg(F.expr("bitmap_construct_agg(h & 32767L)").alias("__bits"))
+    return materialise(bits, path)
 
 
 def by_bits(df: DataFrame, column: str, bits: DataFrame, present: bool) -> DataFrame:
     """Rows whose value may be among the bitmap's values (present), or cannot be."""
-    d = df.withColumn("__h", F.expr(f"xxhash64(cast({column} as bigint)) & {(1 << BITS) - 1}L")).withColumn("__bucket", F.expr("shiftright(__h, 16)"))
-    d = d.join(F.broadcast(bits), "__bucket")
-    bit = F.expr("shiftright(__words[cast(shiftright(__h, 6) & 1023L as int)], cast(__h & 63L as int)) & 1L")
-    return d.where(bit == (1 if present else 0)).drop("__h", "__bucket", "__words")
+    d = df.withColumn("__h", F.expr(_hashed(column))).withColumn("__bucket", F.expr("shiftright(__h, 15)"))
+    d = d.join(F.broadcast(bits), "__bucket", "left")
+    byte = "cast(conv(hex(substring(__bits, cast(shiftright(__h & 32767L, 3) as int) + 1, 1)), 16, 10) as int)"
+    bit = F.expr(f"coalesce(shiftright({byte}, cast(__h & 7L as int)) & 1, 0)")
+    return d.where(bit == (1 if present else 0)).drop("__h", "__bucket", "__bits")
 
 
 def components(edges: DataFrame, workdir: str, limit: int = 60) -> DataFrame:

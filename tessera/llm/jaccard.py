@@ -37,12 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_table, by_bits, components, materialise, ship
+from .common import bit_table, by_bits, components, enter, materialise, ship
 from .textops import U, Words, mix, shingles, slices
 
 FEATURES = "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>"
 SPARE = 2  # empty parts that a text may have before it writes keys for them
-TILE_DOCS, TILE_SHINGLES = 1024, 1 << 22
+TILE_DOCS, TILE_SHINGLES = 1024, 1 << 21
 
 
 def band_starts(limit: int = 1 << 40) -> np.ndarray:
@@ -98,6 +98,7 @@ def features(docs: DataFrame, percent: int, k: int) -> DataFrame:
     """FEATURES of every document."""
 
     def run(batches):
+        enter("jaccard")
         for b in batches:
             ids, text = b.column("doc_id"), b.column("text")
             for lo, hi in slices(text):
@@ -118,7 +119,7 @@ def features(docs: DataFrame, percent: int, k: int) -> DataFrame:
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     """A hashed bitmap per set, about four bits per element of the largest."""
     width = 64
-    while width < 1 << 14 and width < 4 * max(len(s) for s in sets):
+    while width < 1 << 13 and width < 4 * max(len(s) for s in sets):
         width *= 2
     bits = np.zeros((len(sets), width), bool)
     for k, s in enumerate(sets):
@@ -186,6 +187,7 @@ def _verify(rows: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of rows (tile, side, doc_id, shingles binary), a tile's rows together."""
 
     def run(batches):
+        enter("jaccard")
         held: list[tuple] = []
         edges: list[tuple] = []
 
@@ -235,6 +237,7 @@ def join(docs: DataFrame, workdir: str, percent: int = 90, k: int = 3) -> DataFr
     texts = by_bits(texts, "doc_id", bit_table(tiles.select("doc_id"), "doc_id", f"{workdir}/tile-bits"), True).join(tiles, "doc_id")
 
     def sets(batches):
+        enter("jaccard")
         for b in batches:
             text = b.column("text")
             for lo, hi in slices(text):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_of_id, materialise, ship
+from .common import crc_of_id, enter, materialise, ship, trim
 from .textops import U, mix, slices
 
 ORDER = 4
@@ -226,13 +226,14 @@ def classify(model: dict, texts: list[str]) -> tuple[list[str], np.ndarray, np.n
     return lang, np.where(und, 0.0, score), rejected, low
 
 
-def fit(docs: DataFrame, workdir: str, max_grams: int = 200_000, discount: float = 0.75) -> dict:
+def fit(docs: DataFrame, workdir: str, max_grams: int = 100_000, discount: float = 0.75) -> dict:
     """Count the 4-grams of all training rows (crc32(doc_id as text) mod 5 not 0, lang given) and build the model."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.where("lang is not null and text is not null and doc_id is not null").where(crc_of_id("doc_id") % 5 != 0).selectExpr("cast(lang as string) lang", "cast(text as string) text")
 
     def count(batches):
+        enter("langid")
         held: dict[str, list] = {}
 
         def merge(lang, last):
@@ -267,7 +268,9 @@ def fit(docs: DataFrame, workdir: str, max_grams: int = 200_000, discount: float
         # a bounded model: the language's most frequent 4-grams
         pdf = sums.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(max_grams).select("gram", "n").toPandas()
         counts[lang] = (pdf["gram"].to_numpy(np.int64).view(U), pdf["n"].to_numpy(np.int64))
-    return build({k: v for k, v in counts.items() if len(v[0])}, discount)
+    model = build({k: v for k, v in counts.items() if len(v[0])}, discount)
+    trim()
+    return model
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
@@ -277,6 +280,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)  # bounded by languages * max_grams
 
     def run(batches):
+        enter("langid")
         for b in batches:
             text = b.column("text").cast(pa.string())
             lang, score, rejected = [], [], []

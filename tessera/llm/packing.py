@@ -24,9 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ship
+from .common import enter, ship
 from .textops import slices
-from .tokens import encoder
+from .tokens import drop_encoders, encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padding long"
 
@@ -153,6 +153,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, c
     def run(batches):
         from pyspark import TaskContext
 
+        enter("tokens", drop_encoders)
         enc = encoder(tokenizer)
         packer = Packer(window, *token_flags(tokenizer), costs, TaskContext.get().partitionId() << 40, block)
         end = np.array([end_id], "<u4")

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ship
+from .common import enter, ship
 from .textops import U, mix, slices
 from .tokens import LETTER
 
@@ -430,6 +430,10 @@ class Codec:
 _CODECS: dict[tuple, Codec] = {}
 
 
+def drop_codecs() -> None:
+    _CODECS.clear()
+
+
 def codec(path: str, *methods: str) -> Codec:
     """One codec per worker process, file and methods."""
     if (path, methods) not in _CODECS:
@@ -477,6 +481,7 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches):
+        enter("sentencepiece", drop_codecs)
         c = codec(path, "auto", "viterbi")
         for b in batches:
             text = b.column("text")

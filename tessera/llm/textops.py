@@ -29,7 +29,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POW[0]) < n:
-        m = 1 << max(20, (n - 1).bit_length())
+        m = 1 << max(18, (n - 1).bit_length())
         for k, base in ((0, _BASE), (1, pow(_BASE, -1, 1 << 64))):
             p = np.full(m, U(base), U)
             p[0] = U(1)
@@ -37,7 +37,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW[0], _POW[1]
 
 
-def slices(col, limit: int = 1 << 20):
+def slices(col, limit: int = 1 << 18):
     """Row ranges (start, stop) of a string column holding about `limit` bytes each, one row at least."""
     sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)

@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, materialise, ship
+from .common import enter, filesystem, materialise, ship
 from .textops import slices
-from .tokens import encoder
+from .tokens import drop_encoders, encoder
 
 MAGIC = 0x5449504B  # "TIPK"
 BLOCK = 4096
@@ -133,6 +133,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, rang
     marks = np.unique(np.array(marks, np.int64))
 
     def encode(batches):
+        enter("tokens", drop_encoders)
         enc = encoder(tokenizer)
         end = np.array([end_id], "<u4")
         for b in batches:

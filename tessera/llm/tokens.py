@@ -47,7 +47,7 @@ class _Cache(dict):
 
 
 class Encoder:
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -91,6 +91,10 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def drop_encoders() -> None:
+    _ENCODERS.clear()
+
+
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and file."""
     if path not in _ENCODERS:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_of_id, materialise, ship
+from .common import crc_of_id, enter, materialise, ship, trim
 from .textops import BREAK, U, Words, mix, raw, slices
 
 #: Mentions of groups, in the four languages of the corpus; a parameter.
@@ -146,6 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, workdir: str, sample_docs: int = 12_
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(F.broadcast(sample), "doc_id")  # about sample_docs pairs of numbers
 
     def extract(batches):
+        enter("toxicity")
         for b in batches:
             text = b.column("text")
             doc, toxic = b.column("doc_id").to_numpy(), b.column("toxic").to_numpy()
@@ -178,6 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, workdir: str, sample_docs: int = 12_
     # every term is also swapped once with the next, so that terms the sample lacks stay neutral too
     swaps += [(place[k], place[(k + 1) % len(own)]) for k in range(len(own))]
     w, bias = fit_weights(len(y), row, col, y, len(keys), swaps, l2, counterfactual, steps)
+    del rows, row, col, swaps
+    trim()
     return {"keys": keys, "weights": w, "bias": bias}
 
 
@@ -197,6 +200,7 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)  # at most max_features numbers, twice
 
     def run(batches):
+        enter("toxicity")
         lookup = Lookup(shared.value["keys"])
         for b in batches:
             text = b.column("text").cast(pa.string())

@@ -372,3 +372,14 @@ def test_feature_hash_ignores_place():
     a = toxicity.doc_features(pa.array(["Hello, worlds of toxicity"]))[1]
     b = toxicity.doc_features(pa.array(["x", "toxicity!", "hello"]))[1]
     assert len(np.intersect1d(a, b)) == 6  # two words, their beginnings of 4 bytes, of 5 and 6 of the longer
+
+
+def test_bitmap_parts_the_rows(spark, work):
+    from tessera.llm.common import bit_table, by_bits
+
+    df = spark.range(3000).select((F.col("id") * 7 - 500).alias("k")).unionAll(spark.createDataFrame([(None,)], "k long"))
+    bits = bit_table(df.where("k % 2 = 0"), "k", work)
+    yes, no = by_bits(df, "k", bits, True), by_bits(df, "k", bits, False)
+    assert yes.count() + no.count() == df.count()
+    assert no.where("k % 2 = 0").count() == 0 and no.where("k % 2 <> 0").count() >= 1490
+    assert by_bits(df, "k", bit_table(df.limit(0), "k", work + "-none"), True).count() == 0
