@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import unicodedata
 
 import numpy as np
@@ -47,7 +48,7 @@ class _Cache(dict):
 
 
 class Encoder:
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -55,6 +56,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [a["content"] for a in spec.get("added_tokens") or []]
+        self.special_ids = {a["id"] for a in spec.get("added_tokens") or []}
         self.vocab = max([*(spec["model"].get("vocab") or {"": 0}).values(), *(a["id"] for a in spec.get("added_tokens") or [])]) + 1
         pre, norm, kind = spec.get("pre_tokenizer") or {}, spec.get("normalizer"), None
         if spec["model"].get("type") == "BPE" and not spec["model"].get("dropout"):
@@ -64,19 +66,46 @@ class Encoder:
                 kind = "word"
         self.kind, self.model = kind, self.tok.model
         self.table = byte_alphabet()
+        self.spell = dict(enumerate(self.table))
+        self.ranked = self._by_rank(spec["model"]) if kind else None
         lead = " ?" if kind == "byte" else ""
         self.units = re.compile(rf"{lead}[{LETTER}]+(?=[{WHITE}.,;:!?]|\Z)|{lead}[^{WHITE}]+" + (rf"|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+" if kind == "byte" else ""))
         self.simple = re.compile(rf"{lead}[{LETTER}]+")
         self.cache = _Cache(self._unit, limit)
 
+    def _by_rank(self, model: dict):
+        """Where ids rise in the order of the merges, tiktoken gives the same ids for a word, faster; else None.
+
+        A suffix that marks a word's end becomes the byte 0, which no plain word holds; its ids
+        lie below those of all merges, so that it joins the last byte first.
+        """
+        import tiktoken
+
+        suffix = model.get("end_of_word_suffix") or ""
+        back, vocab = {c: b for b, c in enumerate(self.table)}, model["vocab"]
+        made = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+        first = 512 if suffix else 256
+        if None in made or made != sorted(made) or min(made, default=first) < first or any(vocab.get(c, first) >= 256 for c in self.table) or any(not 256 <= vocab.get(c + suffix, 0) < first for c in self.table if suffix):
+            return None
+        ranks = {}
+        for piece, i in vocab.items():
+            if i not in self.special_ids:
+                ended = bool(suffix) and piece.endswith(suffix)
+                own = bytes(map(back.__getitem__, piece.removesuffix(suffix) if ended else piece)) + b"\0" * ended
+                if own in ranks:
+                    return None
+                ranks[own] = i
+        fast = tiktoken.Encoding("ranks", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return (lambda unit: fast(unit + "\0")) if suffix else fast
+
     def _unit(self, unit: str) -> bytes:
         if len(unit) < 64 and self.simple.fullmatch(unit):
             if self.kind == "word":
                 unit = unicodedata.normalize("NFC", unit).lower()
-            ids = [x.id for x in self.model.tokenize("".join(map(self.table.__getitem__, unit.encode())))]
+            ids = self.ranked(unit) if self.ranked else [x.id for x in self.model.tokenize(unit.encode().decode("latin-1").translate(self.spell))]
         else:
             ids = self.tok.encode(unit, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a text as little-endian uint32; null counts as empty."""
@@ -88,15 +117,15 @@ class Encoder:
         return np.frombuffer(b"".join(map(self.cache.__getitem__, self.units.findall(text))), "<u4")
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple, Encoder] = {}
 
 
 def drop_encoders() -> None:
     _ENCODERS.clear()
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, limit: int = 300_000) -> Encoder:
+    """One encoder per worker process, file and cache size (units a generation, about 200 bytes each)."""
+    if (path, limit) not in _ENCODERS:
+        _ENCODERS[path, limit] = Encoder(path, limit)
+    return _ENCODERS[path, limit]
