@@ -134,7 +134,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, rang
 
     def encode(batches):
         enter("tokens", drop_encoders)
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, 600_000)
         end = np.array([end_id], "<u4")
         for b in batches:
             ids, text = b.column("doc_id"), b.column("text")
