@@ -67,7 +67,7 @@ def measure(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id and measurements: n_words, word_chars, n_symbols, n_digits, n_lines, n_dup_lines, n_repeat_words."""
     d = docs.select("doc_id", *[c for c in keep if c != "doc_id"], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__t"))
     lines = F.filter(F.split("__t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    core = F.expr(r"trim(BOTH ' \t\n\u000b\f\r' FROM __t)")
+    core = F.btrim("__t", F.lit(BLANKS))
     words = F.when(core == "", F.array().cast("array<string>")).otherwise(F.split(core, r"[\x20\x09-\x0D]+", -1))
     d = d.withColumn("__w", words).withColumn("__l", lines)
     d = d.withColumn("__h", F.transform("__w", lambda w: F.xxhash64(w)))

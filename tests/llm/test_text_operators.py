@@ -184,6 +184,13 @@ def test_quality(spark, odd, none):
     assert quality.ledger(none).count() == 0
 
 
+def test_quality_trims_blanks_only(spark):
+    texts = ["f hello", "for a bf", "of a leaf of a leaf", "hello world\f", "\f one two\x0b\f", "f", "ff\fff", "\f", "fa b c x fa b c f", "\\f a \\u000b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality.ledger(df).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_quality(texts[r.doc_id]), texts[r.doc_id]
+
+
 def test_ablation(spark, odd):
     book = quality.ledger(odd)
     rows = {r.rule: r for r in quality.ablation(book, quality.POLICIES["v1"]).collect()}
