@@ -38,9 +38,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays; of rows that repeat a doc_id, one."""
+    """Of each group of linked documents the one with the smallest doc_id stays; of rows that repeat a doc_id, one. Links: 5-word shingles, Jaccard 0.8 or more."""
     folder = shared_dir(spark)
-    groups = materialise(jaccard.join(docs, folder, percent=90, k=3), f"{folder}/groups")
+    groups = materialise(jaccard.join(docs, folder, percent=80, k=5), f"{folder}/groups")
     gone = materialise(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), f"{folder}/gone")
     # most documents are known to stay by a bitmap of fixed size and need no shuffle
     bits = bit_table(gone, "__gone", f"{folder}/gone-bits")

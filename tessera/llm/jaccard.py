@@ -2,7 +2,7 @@
 
 Steps, all over whole texts:
 
-1. `features`: the distinct 3-word shingle hashes of every text give its size, a 128-bit
+1. `features`: the distinct k-word shingle hashes of every text give its size, a 128-bit
    fingerprint, and partition keys. Texts lie in size bands (ratio 3/2); for a band whose
    largest size is M, two sets that link differ in at most H = floor(2M (100 - t) / (100 + t))
    shingles. Cutting the hash range into H + 3 parts therefore leaves at least three parts
@@ -15,7 +15,7 @@ Steps, all over whole texts:
    components of these ties are candidate groups (a superset of the links).
 4. Only candidates' texts are fetched again (a bitmap of fixed size sorts most others out
    before the join). A group goes to one tile; a large group is cut
-   by size band (ratio 1.12, only equal and adjacent bands meet) and into chunks, and each
+   by size band (ratio just above 100 / t, only equal and adjacent bands meet) and into chunks, and each
    pair of chunks is a tile of bounded size. In a tile, hashed bitmap signatures bound the
    overlap from above by bit counts; survivors are intersected exactly as sorted arrays. Pairs
    already connected are skipped, and a tile returns a spanning forest of its links.
@@ -161,13 +161,13 @@ def tile_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None,
     return out
 
 
-def _tiles(cand: DataFrame, at: str) -> DataFrame:
+def _tiles(cand: DataFrame, at: str, percent: int) -> DataFrame:
     """doc_id and tiles (array of tile, side): which tiles each candidate goes to. side -1: all pairs of the tile."""
     cand = materialise(cand, f"{at}/candidates")
     groups = materialise(cand.groupBy("grp").agg(F.count("*").alias("g_docs"), F.sum("n_shingles").alias("g_shingles")), f"{at}/groups")
     cand = cand.join(groups, "grp").withColumn("big", (F.col("g_docs") > TILE_DOCS) | (F.col("g_shingles") > TILE_SHINGLES))
     small = cand.where("not big").select("doc_id", F.array(F.struct(F.xxhash64("grp").alias("tile"), F.lit(-1).alias("side"))).alias("tiles"))
-    large = cand.where("big").withColumn("band", F.floor(F.log("n_shingles") / F.log(F.lit(1.12))).cast("int"))
+    large = cand.where("big").withColumn("band", F.floor(F.log("n_shingles") / F.log(F.lit(100.8 / percent))).cast("int"))
     large = materialise(large.select("doc_id", "grp", "band", "n_shingles"), f"{at}/large")
     cells = materialise(large.groupBy("grp", "band").agg(F.greatest(F.ceil(F.count("*") / TILE_DOCS), F.ceil(F.sum("n_shingles") / TILE_SHINGLES)).alias("cuts")), f"{at}/cells")
 
@@ -232,7 +232,7 @@ def join(docs: DataFrame, workdir: str, percent: int = 90, k: int = 3) -> DataFr
     groups = components(ties, f"{workdir}/ties").select(F.col("node").alias("f1"), F.col("component").alias("grp"))
     cand = reps.join(groups, "f1").select(F.col("rep").alias("doc_id"), "n_shingles", "f1", "f2", "grp")
 
-    tiles = _tiles(cand.select("doc_id", "grp", "n_shingles"), workdir)
+    tiles = _tiles(cand.select("doc_id", "grp", "n_shingles"), workdir, percent)
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     texts = by_bits(texts, "doc_id", bit_table(tiles.select("doc_id"), "doc_id", f"{workdir}/tile-bits"), True).join(tiles, "doc_id")
 

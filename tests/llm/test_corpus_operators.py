@@ -258,6 +258,39 @@ def test_part_keys_share_one_for_every_link():
                 assert set(key[row == 0].tolist()) & set(key[row == 1].tolist())
 
 
+def test_jaccard_of_five_words(spark, work, monkeypatch):
+    """The pipeline's figures; texts that differ by up to a quarter in size link across the bands of a large group."""
+    monkeypatch.setattr(jaccard, "TILE_DOCS", 8)
+    rows, k = [], 0
+    for n in (1, 4, 5, 6, 9, 12, 20, 40, 64, 100, 200):
+        words = [f"w{n}x{j}" for j in range(n)]
+        for e in range(max(2, n // 12)):
+            for s in range(4):
+                rows.append((k, edited(k, words, e)))
+                k += 1
+    for g in range(40):  # added text at the threshold and just beyond it
+        own = [f"p{g}y{j}" for j in range(60 + g)]
+        for extra in (0, (len(own) - 4) // 4, (len(own) - 4) // 4 + 1):
+            rows.append((k, " ".join(own + [f"t{g}z{extra}q{j}" for j in range(extra)])))
+            k += 1
+    base = [f"c{j}" for j in range(80)]
+    rows += [(k + j, " ".join(base + [f"d{i}" for i in range(j)])) for j in range(0, 60, 19)]
+    rows += [(k + 100 + j, edited(j, base, 1 + j % 3)) for j in range(40)]
+    sets = brute_sets(rows, 5)
+    want = find_all(brute_links(sets, 80), {d for d, _ in rows})
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), work, percent=80, k=5).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {d: (len(s), want[d]) for d, s in sets}
+
+
+def test_large_groups_meet_across_bands(spark, work, monkeypatch):
+    """Every two sizes that may link share a tile."""
+    monkeypatch.setattr(jaccard, "TILE_DOCS", 8)
+    df = spark.createDataFrame([(n, 1, n) for n in range(1, 200)], "doc_id long, grp long, n_shingles long")
+    for percent in (80, 90):
+        of = {r.doc_id: {t.tile for t in r.tiles} for r in jaccard._tiles(df, f"{work}/{percent}", percent).collect()}
+        assert all(of[a] & of[b] for a in of for b in of if a < b and 100 * a >= percent * b)
+
+
 # -- embeddings --
 
 
@@ -357,6 +390,18 @@ def test_pipeline_stages(spark, odd, none, sf):
     assert p.packing_stage(spark, odd, sf).count() > 0
 
 
+def test_pipeline_drops_near_copies(spark, sf):
+    """Two scattered word edits, or an eighth of added text, in 100 words: Jaccard below 0.9 on 3 words, above 0.8 on 5."""
+    import corpus_pipeline as p
+
+    words = [f"w{j}" for j in range(100)]
+    twice = ["x" if j in (30, 70) else w for j, w in enumerate(words)]
+    other = [f"v{j}" for j in range(100)]
+    texts = [words, twice, other, other + [f"u{j}" for j in range(13)], [w if j % 20 else "y" for j, w in enumerate(other)]]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in p.jaccard_stage(spark, docs, sf).collect()) == [0, 2, 4]
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as p
 
