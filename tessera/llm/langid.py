@@ -1,10 +1,9 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 Counting: every training text (lang given) contributes its character 4-grams; counts are
-summed over all rows (the tasks' partial sums grow with the input, the model does not: per
-language the `max_grams` most frequent 4-grams are kept, a documented bound). From them come
-modified counts of lower orders (number of distinct left neighbours) and, with one discount
-D, interpolated probabilities
+summed over all rows and every counted 4-gram is kept, so the model grows with the distinct
+4-grams of the training rows. From them come modified counts of lower orders (number of
+distinct left neighbours) and, with one discount D, interpolated probabilities
   p(z | wxy) = max(c - D, 0) / c(wxy.) + D N(wxy.) / c(wxy.) * p(z | xy), and so on.
 The log-probabilities of all languages lie in columns beside arrays sorted by hash, one per
 order, with the back-off weights of contexts in arrays of their own. A text's characters are
@@ -226,8 +225,8 @@ def classify(model: dict, texts: list[str]) -> tuple[list[str], np.ndarray, np.n
     return lang, np.where(und, 0.0, score), rejected, low
 
 
-def fit(docs: DataFrame, workdir: str, max_grams: int = 100_000, discount: float = 0.75) -> dict:
-    """Count the 4-grams of all training rows (crc32(doc_id as text) mod 5 not 0, lang given) and build the model."""
+def fit(docs: DataFrame, workdir: str, discount: float = 0.75) -> dict:
+    """Count the 4-grams of all training rows (crc32(doc_id as text) mod 5 not 0, lang given) and build the model of all of them."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.where("lang is not null and text is not null and doc_id is not null").where(crc_of_id("doc_id") % 5 != 0).selectExpr("cast(lang as string) lang", "cast(text as string) text")
@@ -265,8 +264,7 @@ def fit(docs: DataFrame, workdir: str, max_grams: int = 100_000, discount: float
     sums = materialise(sums, f"{workdir}/grams")
     counts = {}
     for lang in sorted(r["lang"] for r in sums.select("lang").distinct().collect()):
-        # a bounded model: the language's most frequent 4-grams
-        pdf = sums.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(max_grams).select("gram", "n").toPandas()
+        pdf = sums.where(F.col("lang") == lang).select("gram", "n").toPandas()
         counts[lang] = (pdf["gram"].to_numpy(np.int64).view(U), pdf["n"].to_numpy(np.int64))
     model = build({k: v for k, v in counts.items() if len(v[0])}, discount)
     trim()
@@ -277,7 +275,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     """docs' columns plus lang_pred, lang_score, lang_rejected, from text alone; no shuffle."""
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(model)  # bounded by languages * max_grams
+    shared = spark.sparkContext.broadcast(model)  # grows with the distinct 4-grams, times languages
 
     def run(batches):
         enter("langid")

@@ -127,6 +127,22 @@ def test_language_frames(spark, odd, none, work):
     assert {r.lang_pred for r in langid.predict(odd, empty).collect()} == {"und"}
 
 
+def test_language_model_keeps_every_gram(spark, work):
+    """A language of more than 100 000 distinct 4-grams: the model, its mean and its spread are those of all counts."""
+    import zlib
+
+    rng = np.random.default_rng(6)
+    texts = ["".join(chr(0x4E00 + c) for c in rng.integers(0, 3000, 4000)) for _ in range(60)] + [prose(k, 200) for k in range(60)]
+    rows = [(k, t, "zz") for k, t in enumerate(texts)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), work)
+    train = [t for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 5]
+    u, n = np.unique(langid.grams(train)[0], return_counts=True)
+    assert len(u) > 150_000 and len(model["grams"][4][0].hash) == len(u)
+    want = langid.build({"zz": (u, n)})
+    assert np.allclose(model["spread"], want["spread"], rtol=1e-9)
+    assert np.array_equal(model["grams"][4][1], want["grams"][4][1])
+
+
 def test_language_held_out(spark, sf, work):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = langid.predict(docs, langid.fit(docs, work)).where("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0").collect()
