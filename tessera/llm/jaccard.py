@@ -2,26 +2,30 @@
 
 Steps, all over whole texts:
 
-1. `features`: the distinct k-word shingle hashes of every text give its size, a 128-bit
-   fingerprint, and partition keys. Texts lie in size bands (ratio 3/2); for a band whose
-   largest size is M, two sets that link differ in at most H = floor(2M (100 - t) / (100 + t))
-   shingles. Cutting the hash range into H + 3 parts therefore leaves at least three parts
-   in which the two sets are equal: a key is the hash of one part's content. A text whose
-   partner may lie in the next band carries keys for that band too. Keys of empty parts are
-   written only by texts with more than two of them: a text with fewer shares a part that is
-   not empty with every partner. No linked pair is lost.
-2. Copies collapse: sets equal in fingerprint are one node from here on.
-3. Keys held by more than one fingerprint tie their holders to the smallest of them; the
-   components of these ties are candidate groups (a superset of the links).
-4. Only candidates' texts are fetched again (a bitmap of fixed size sorts most others out
-   before the join). A group goes to one tile; a large group is cut
-   by size band (ratio just above 100 / t, only equal and adjacent bands meet) and into chunks, and each
-   pair of chunks is a tile of bounded size. In a tile, hashed bitmap signatures bound the
-   overlap from above by bit counts; survivors are intersected exactly as sorted arrays. Pairs
-   already connected are skipped, and a tile returns a spanning forest of its links.
-5. The components of these links, with the copies joined back, are the result.
-
-Hot keys, fingerprints and nodes: aggregations combine on the map side, and joins read
+1. `frequencies`: in how many documents each shingle stands, counted over all of them in
+   2^BUCKETS hashed counters. The table (8 MB, whatever the data) only orders shingles.
+2. `features`: the distinct k-word shingle hashes of every text give its size n, a 128-bit
+   fingerprint, and its prefix: the n - ceil(n t) + 1 shingles that come first by (counter,
+   hash). Two sets that link share at least ceil(n t) shingles, so their prefixes have one in
+   common, whatever the order; rare shingles first keeps passages that many documents share
+   out of the prefixes.
+3. Copies collapse: sets equal in fingerprint are one node from here on. The holders of a
+   prefix shingle that more than one set has are a list; lists with equal holders are one.
+4. Only the holders' texts are read again (a bitmap of fixed size sorts most others out before
+   the join) into a table of sets and hashed bitmaps.
+5. Holders of a list meet in tiles. Bit counts of the bitmaps bound an overlap from above; a
+   tile returns a spanning forest of the pairs whose bound reaches the threshold. Components
+   of these forests are the candidate groups (a superset of the links).
+6. A group's sets meet in tiles: the same bound, then exact intersection of sorted arrays.
+   Pairs already connected are skipped, and a tile returns a spanning forest of its links. The
+   components of these links, with the copies joined back, are the result.
+
+A list or group goes to one tile. A large one first meets its STARS centres (bounded tiles,
+linear in its size): holders that a centre is connected to need no comparison among
+themselves. What is left is cut by size band (ratio just above 100 / t, only equal and adjacent
+bands meet), by centre and into chunks, and each pair of chunks is a tile of bounded size.
+
+Hot shingles, fingerprints and nodes: aggregations combine on the map side, and joins read
 tables from shared storage on both sides so that the adaptive skew join can split a hot key.
 
 Defined results: null or empty text, or one without words: no shingles, linked with nothing,
@@ -41,69 +45,76 @@ from .common import bit_table, by_bits, components, enter, materialise, ship
 from .textops import U, Words, mix, shingles, slices
 
 FEATURES = "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>"
-SPARE = 2  # empty parts that a text may have before it writes keys for them
-TILE_DOCS, TILE_SHINGLES = 1024, 1 << 21
+BUCKETS, SEGMENT = 23, 16  # bits of the frequency table, and of one of its segments
+TILE_DOCS, TILE_SHINGLES, STARS = 512, 1 << 21, 8
 
 
-def band_starts(limit: int = 1 << 40) -> np.ndarray:
-    out = [1]
-    while out[-1] < limit:
-        out.append(max(out[-1] + 1, -(-out[-1] * 3 // 2)))
-    return np.array(out, np.int64)
+def _sets(col, k: int):
+    """(row range, shingle sets) of a text column, in slices of bounded size."""
+    for lo, hi in slices(col):
+        yield lo, hi, shingles(Words(col.slice(lo, hi - lo), lower=True), k)
 
 
-BANDS = band_starts()
+def frequencies(docs: DataFrame, k: int, workdir: str) -> np.ndarray:
+    """Per hashed counter the size class (quarter octaves) of the number of documents whose shingles fall in it."""
 
+    def count(batches):
+        import zstandard
 
-def part_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row of each key, key) for the sorted hash sets of a batch."""
-    sizes = np.array([len(s) for s in sets], np.int64)
+        enter("jaccard")
+        table = np.zeros(1 << BUCKETS, np.uint32)
+        for b in batches:
+            for _, _, sets in _sets(b.column("text"), k):
+                if sets:
+                    np.add.at(table, (np.concatenate(sets) >> U(64 - BUCKETS)).astype(np.int64), np.uint32(1))
+        z = zstandard.ZstdCompressor(level=1)
+        for s, part in enumerate(table.reshape(-1, 1 << SEGMENT)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([z.compress(part.tobytes())], pa.binary())], ["segment", "counts"])
+
+    def add(batches):
+        import zstandard
+
+        sums: dict[int, np.ndarray] = {}  # at most 2^(BUCKETS - SEGMENT) arrays of fixed size
+        z = zstandard.ZstdDecompressor()
+        for b in batches:
+            for s, data in zip(b.column("segment").to_pylist(), b.column("counts").to_pylist()):
+                part = np.frombuffer(z.decompress(data), np.uint32).astype(np.int64)
+                sums[s] = sums[s] + part if s in sums else part
+        for s, n in sums.items():
+            level = np.minimum(4 * np.log2(np.maximum(n, 1)), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["segment", "levels"])
+
+    parts = docs.selectExpr("cast(text as string) text").mapInArrow(count, "segment int, counts binary")
+    found = materialise(parts.repartition("segment").mapInArrow(add, "segment int, levels binary"), f"{workdir}/frequencies")
+    out = np.zeros((1 << (BUCKETS - SEGMENT), 1 << SEGMENT), np.uint8)
+    for r in found.collect():  # 8 MB at most
+        out[r["segment"]] = np.frombuffer(r["levels"], np.uint8)
+    return out.reshape(-1)
+
+
+def prefixes(sets: list[np.ndarray], levels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each prefix shingle, shingle) of a batch's sets."""
+    size = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets) if sets else np.zeros(0, U)
-    strong = mix(flat ^ U(0x5851F42D4C957F2D))
-    band = np.searchsorted(BANDS, sizes, side="right") - 1
-    rows, keys = [], []
-    reach = sizes * 100 // percent  # largest partner
-    for step in (0, 1):
-        b = band + step
-        use = (sizes > 0) & ((reach >= BANDS[np.minimum(b, len(BANDS) - 1)]) if step else True)
-        if not use.any():
-            continue
-        most = BANDS[b + 1] - 1
-        parts = 2 * most * (100 - percent) // (100 + percent) + 1 + SPARE
-        row = np.repeat(np.arange(len(sets)), sizes)
-        mask = use[row]
-        r, h, s = row[mask], flat[mask], strong[mask]
-        part = ((h >> U(32)) * parts[r].astype(U)) >> U(32)
-        new = np.ones(len(r), bool)
-        new[1:] = (r[1:] != r[:-1]) | (part[1:] != part[:-1])
-        at = np.flatnonzero(new)
-        total = np.add.reduceat(s, at)
-        label = mix((b[r[at]].astype(U) << U(40)) + part[at] + U(1))
-        rows.append(r[at])
-        keys.append(mix(total ^ label))
-        full = np.bincount(r[at], minlength=len(sets))
-        for x in np.flatnonzero(use & (parts - full > SPARE)):
-            have = part[at][r[at] == x].astype(np.int64)
-            missing = np.setdiff1d(np.arange(parts[x]), have)
-            rows.append(np.full(len(missing), x))
-            keys.append(mix(U(0xA0761D6478BD642F) ^ mix((np.full(len(missing), b[x]).astype(U) << U(40)) + missing.astype(U) + U(1))))
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    row, key = np.concatenate(rows), np.concatenate(keys)
-    order = np.argsort(row, kind="stable")
-    return row[order], key[order]
-
-
-def features(docs: DataFrame, percent: int, k: int) -> DataFrame:
+    row = np.repeat(np.arange(len(sets)), size)
+    want = np.where(size > 0, size - -(-size * percent // 100) + 1, 0)
+    order = np.lexsort((flat, levels[(flat >> U(64 - BUCKETS)).astype(np.int64)], row))
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    at = order[place < want[row]]
+    return row[at], flat[at]
+
+
+def features(docs: DataFrame, levels: np.ndarray, percent: int, k: int) -> DataFrame:
     """FEATURES of every document."""
+    shared = docs.sparkSession.sparkContext.broadcast(levels)  # 8 MB
 
     def run(batches):
         enter("jaccard")
         for b in batches:
             ids, text = b.column("doc_id"), b.column("text")
-            for lo, hi in slices(text):
-                sets = shingles(Words(text.slice(lo, hi - lo), lower=True), k)
-                row, key = part_keys(sets, percent)
+            for lo, hi, sets in _sets(text, k):
+                row, key = prefixes(sets, shared.value, percent)
                 offsets = np.zeros(len(sets) + 1, np.int32)
                 np.cumsum(np.bincount(row, minlength=len(sets)), out=offsets[1:])
                 f1 = np.array([mix(s).sum(dtype=U) if len(s) else U(0) for s in sets], U)
@@ -116,75 +127,77 @@ def features(docs: DataFrame, percent: int, k: int) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, FEATURES)
 
 
-def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """A hashed bitmap per set, about four bits per element of the largest."""
-    width = 64
-    while width < 1 << 13 and width < 4 * max(len(s) for s in sets):
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """Hashed bitmap of a set as 64-bit words: the least power of two of bits that is twice its size, 256 to 8192."""
+    width = 256
+    while width < 1 << 13 and width < 2 * len(s):
         width *= 2
-    bits = np.zeros((len(sets), width), bool)
-    for k, s in enumerate(sets):
-        bits[k, (mix(s) % U(width)).astype(np.int64)] = True
-    return np.packbits(bits, axis=1).view(np.uint64)
+    bits = np.zeros(width, bool)
+    bits[(mix(s) & U(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
-def tile_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links in a tile; with `side`, only pairs of different sides are compared."""
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    ids, sets = ids[order], [sets[k] for k in order]
-    side = None if side is None else side[order]
-    size = np.array([len(s) for s in sets], np.int64)
-    maps = bitmaps(sets)
-    label = np.arange(len(sets))
-    out = []
-    for x in range(1, len(sets)):
+class Unions:
+    """Labels of the components of a few nodes."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def join(self, x: int, y: int) -> bool:
+        if self.label[x] == self.label[y]:
+            return False
+        self.label[self.label == self.label[y]] = self.label[x]
+        return True
+
+
+def tile_links(sizes: np.ndarray, maps: list[np.ndarray], sets: list[np.ndarray] | None, side: np.ndarray, percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(spanning forest, component labels) of a tile's rows.
+
+    Rows of side -1 meet all others, rows of the sides 0 and 1 only those of another side. With
+    sets, pairs whose Jaccard reaches the threshold are connected; without, those whose bitmaps allow it.
+    """
+    found, out = Unions(len(sizes)), []
+    order = np.argsort(sizes, kind="stable")
+    size, own_side, label = sizes[order], side[order], found.label
+    # a bitmap's width rises with the size, so equal widths lie side by side
+    wide = np.array([len(maps[k]) for k in order])
+    starts = np.flatnonzero(np.r_[True, wide[1:] != wide[:-1]]) if len(order) else []
+    runs = [(int(a), int(b), int(wide[a]), np.stack([maps[k] for k in order[a:b]])) for a, b in zip(starts, [*starts[1:], len(order)])]
+    for x in range(1, len(order)):
+        me = order[x]
         low = int(np.searchsorted(size[:x], -(-size[x] * percent // 100)))
-        y = np.arange(low, x)
-        y = y[label[y] != label[x]]
-        if side is not None:
-            y = y[side[y] != side[x]]
-        if not len(y):
-            continue
-        a, b = maps[x], maps[y]
-        bound = np.minimum(size[x] - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), size[y] - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
-        y = y[(100 + percent) * bound >= percent * (size[x] + size[y])]
-        own = sets[x]
-        while len(y):
-            now, y = y[:16], y[16:]
-            flat = np.concatenate([sets[k] for k in now])
-            at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-            both = np.add.reduceat((own[at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(size[now])[:-1]]))
-            for k in now[100 * both >= percent * (size[x] + size[now] - both)]:
-                if label[k] != label[x]:
-                    out.append((int(ids[x]), int(ids[k])))
-                    label[label == label[k]] = label[x]
-            y = y[label[y] != label[x]]
-    return out
-
-
-def _tiles(cand: DataFrame, at: str, percent: int) -> DataFrame:
-    """doc_id and tiles (array of tile, side): which tiles each candidate goes to. side -1: all pairs of the tile."""
-    cand = materialise(cand, f"{at}/candidates")
-    groups = materialise(cand.groupBy("grp").agg(F.count("*").alias("g_docs"), F.sum("n_shingles").alias("g_shingles")), f"{at}/groups")
-    cand = cand.join(groups, "grp").withColumn("big", (F.col("g_docs") > TILE_DOCS) | (F.col("g_shingles") > TILE_SHINGLES))
-    small = cand.where("not big").select("doc_id", F.array(F.struct(F.xxhash64("grp").alias("tile"), F.lit(-1).alias("side"))).alias("tiles"))
-    large = cand.where("big").withColumn("band", F.floor(F.log("n_shingles") / F.log(F.lit(100.8 / percent))).cast("int"))
-    large = materialise(large.select("doc_id", "grp", "band", "n_shingles"), f"{at}/large")
-    cells = materialise(large.groupBy("grp", "band").agg(F.greatest(F.ceil(F.count("*") / TILE_DOCS), F.ceil(F.sum("n_shingles") / TILE_SHINGLES)).alias("cuts")), f"{at}/cells")
-
-    def near(step: int, name: str) -> DataFrame:
-        return cells.select("grp", (F.col("band") - step).alias("band"), F.col("cuts").alias(name))
-
-    large = large.join(near(0, "own"), ["grp", "band"]).join(near(1, "above"), ["grp", "band"], "left").join(near(-1, "below"), ["grp", "band"], "left")
-    large = large.withColumn("c", F.pmod(F.xxhash64("doc_id"), F.col("own")))
-    tiles = """concat(
-        transform(sequence(0L, own - 1), j -> struct(xxhash64(grp, band, least(c, j), band, greatest(c, j)) as tile, case when c = j then -1 when c < j then 0 else 1 end as side)),
-        case when above is null then array() else transform(sequence(0L, above - 1), j -> struct(xxhash64(grp, band, c, band + 1, j) as tile, 0 as side)) end,
-        case when below is null then array() else transform(sequence(0L, below - 1), j -> struct(xxhash64(grp, band - 1, j, band, c) as tile, 1 as side)) end)"""
-    return small.unionByName(large.select("doc_id", F.expr(tiles).alias("tiles")))
-
-
-def _verify(rows: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of rows (tile, side, doc_id, shingles binary), a tile's rows together."""
+        for begin, end, width, block in runs:
+            y = np.arange(max(low, begin), min(x, end))
+            y = y[label[order[y]] != label[me]]
+            if own_side[x] != -1:
+                y = y[own_side[y] != own_side[x]]
+            if not len(y):
+                continue
+            a, b = np.bitwise_or.reduce(maps[me].reshape(-1, width), axis=0), block[y - begin]
+            bound = np.minimum(size[x] - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), size[y] - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
+            y = y[(100 + percent) * bound >= percent * (size[x] + size[y])]
+            while len(y):
+                now, y = y[:16], y[16:]
+                if sets is not None:
+                    own = sets[me]
+                    flat = np.concatenate([sets[k] for k in order[now]])
+                    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                    both = np.add.reduceat((own[at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(size[now])[:-1]]))
+                    now = now[100 * both >= percent * (size[x] + size[now] - both)]
+                for k in order[now]:
+                    if found.join(int(me), int(k)):
+                        out.append((int(me), int(k)))
+                y = y[label[order[y]] != label[me]]
+    return out, label
+
+
+def _meet(rows: DataFrame, percent: int, exact: bool, star: bool) -> DataFrame:
+    """Forests (a, b) of rows (tile, side, doc_id, n_shingles, map[, shingles]), a tile's rows together.
+
+    star: rows of side 1 are centres, and rows (grp, doc_id, class) stand among the edges: of each
+    centre, and of each holder connected to one, the least of the centres connected with it.
+    """
+    columns = ["tile", "side", "doc_id", "n_shingles", "map"] + ["shingles"] * exact + ["grp"] * star
 
     def run(batches):
         enter("jaccard")
@@ -193,60 +206,138 @@ def _verify(rows: DataFrame, percent: int) -> DataFrame:
 
         def finish():
             if len(held) > 1:
-                side = np.array([h[0] for h in held])
-                sets = [np.frombuffer(h[2], U) for h in held]
-                edges.extend(tile_links(np.array([h[1] for h in held], np.int64), sets, None if (side == -1).all() else side, percent))
+                side, ids, size = (np.array([h[c] for h in held], np.int64) for c in range(3))
+                maps = [np.frombuffer(h[3], np.uint64) for h in held]
+                sets = [np.frombuffer(h[4], U) for h in held] if exact else None
+                if star:
+                    centres, rest = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
+                    # centres among themselves first: every tile of a group finds the same
+                    pick = lambda at: (size[at], [maps[k] for k in at], [sets[k] for k in at] if exact else None)
+                    forest, label = tile_links(*pick(centres), np.full(len(centres), -1), percent)
+                    edges.extend((None, int(ids[centres[x]]), int(ids[centres[y]])) for x, y in forest)
+                    for c in np.unique(label):
+                        near = centres[label == c]
+                        own = int(ids[near].min())
+                        edges.extend((held[k][-1], int(ids[k]), own) for k in near)
+                        at = np.concatenate([rest, near])
+                        who = np.concatenate([np.zeros(len(rest), np.int64), np.ones(len(near), np.int64)])
+                        forest, found = tile_links(*pick(at), who, percent)
+                        edges.extend((None, int(ids[at[x]]), int(ids[at[y]])) for x, y in forest)
+                        hit = np.isin(found[: len(rest)], found[len(rest) :])
+                        edges.extend((held[k][-1], int(ids[k]), own) for k in rest[hit])
+                        rest = rest[~hit]
+                else:
+                    edges.extend((None, int(ids[x]), int(ids[y])) for x, y in tile_links(size, maps, sets, side, percent)[0])
             held.clear()
 
+        def batch():
+            out = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges)], ["grp", "a", "b"])
+            edges.clear()
+            return out
+
         now = None
         for b in batches:
-            for tile, side, doc, data in zip(*(b.column(c).to_pylist() for c in ("tile", "side", "doc_id", "shingles"))):
+            for tile, *row in zip(*(b.column(c).to_pylist() for c in columns)):
                 if tile != now:
                     finish()
                     now = tile
-                held.append((side, doc, data))
+                held.append(tuple(row))
             if edges:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges)], ["a", "b"])
-                edges.clear()
+                yield batch()
         finish()
         if edges:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges)], ["a", "b"])
-
-    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
+            yield batch()
+
+    return rows.select(columns).repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "grp long, a long, b long")
+
+
+def _forests(cand: DataFrame, sets: DataFrame, at: str, percent: int, exact: bool) -> DataFrame:
+    """Forest edges (a, b) among the holders cand (grp, doc_id, f1, n_shingles) of each group."""
+    payload = sets.select("doc_id", "f1", "map", *(["shingles"] if exact else []))
+    weight = F.col("n_shingles") if exact else F.lit(0).cast("long")
+    cand = materialise(cand, f"{at}/cand")
+    groups = materialise(cand.groupBy("grp").agg(F.count("*").alias("g_docs"), F.sum(weight).alias("g_weight")), f"{at}/groups")
+    cut = F.greatest(F.ceil(F.col("g_docs") / TILE_DOCS), F.ceil(F.col("g_weight") / TILE_SHINGLES))
+    cand = cand.join(groups.select("grp", cut.alias("cuts")), "grp")
+    small = cand.where("cuts <= 1").select(F.xxhash64("grp").alias("tile"), F.lit(-1).alias("side"), "doc_id", "f1", "n_shingles")
+    edges = _meet(small.join(payload, ["doc_id", "f1"]), percent, exact, False).select("a", "b")
+    if groups.where(cut > 1).isEmpty():
+        return edges
+    edges = materialise(edges, f"{at}/small")
+    large = materialise(cand.where("cuts > 1").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("cuts"))), f"{at}/large")
+    # centres: the STARS least hashes of a group, from the least of each chunk of few
+    least = large.groupBy("grp", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(STARS)).alias("k")).agg(F.min(F.struct(F.xxhash64(F.lit(2), "doc_id").alias("h"), "doc_id", "f1", "n_shingles", "cuts")).alias("c"))
+    centres = materialise(least.select("grp", "c.doc_id", "c.f1", "c.n_shingles", "c.cuts"), f"{at}/centres")
+    tile = F.xxhash64("grp", "chunk").alias("tile")
+    holders = large.join(centres.select("grp", "doc_id", "f1"), ["grp", "doc_id", "f1"], "left_anti").select("grp", tile, F.lit(0).alias("side"), "doc_id", "f1", "n_shingles")
+    stars = centres.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))).select("grp", tile, F.lit(1).alias("side"), "doc_id", "f1", "n_shingles")
+    star = materialise(_meet(holders.unionByName(stars).join(payload, ["doc_id", "f1"]), percent, exact, True), f"{at}/star")
+    edges = edges.unionByName(star.where("grp is null").select("a", "b"))
+    marks = star.where("grp is not null").select("grp", F.col("a").alias("doc_id"), F.col("b").alias("class")).groupBy("grp", "doc_id").agg(F.min("class").alias("class"))
+    large = large.drop("chunk", "cuts").join(marks, ["grp", "doc_id"], "left").withColumn("class", F.coalesce("class", F.lit(-1).cast("long")))
+    # groups of one class are done
+    open_ = large.groupBy("grp").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi or lo = -1").select("grp")
+    large = large.join(materialise(open_, f"{at}/open"), "grp", "left_semi").withColumn("band", F.floor(F.log("n_shingles") / F.log(F.lit(100.8 / percent))).cast("int"))
+    large = materialise(large, f"{at}/rest")
+    if large.isEmpty():
+        return edges
+    cells = large.groupBy("grp", "band", "class").agg(F.greatest(F.ceil(F.count("*") / TILE_DOCS), F.ceil(F.sum(weight) / TILE_SHINGLES)).alias("own"))
+    chunks = materialise(cells.select("grp", "band", "class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own") - 1)).alias("chunk")), f"{at}/chunks")
+    left, right = (chunks.select("grp", F.col("band").alias(f"band_{s}"), F.col("class").alias(f"class_{s}"), F.col("chunk").alias(f"chunk_{s}")) for s in "pq")
+    meets = left.join(right, "grp").where("band_p in (band_q, band_q - 1) and (class_p <> class_q or class_p = -1) and (band_p < band_q or class_p < class_q or (class_p = class_q and chunk_p <= chunk_q))")
+    meets = materialise(meets.withColumn("tile", F.xxhash64("grp", "band_p", "class_p", "chunk_p", "band_q", "class_q", "chunk_q")), f"{at}/meets")
+    alone = "band_p = band_q and class_p = class_q and chunk_p = chunk_q"
+    ends = meets.select("grp", F.col("band_p").alias("band"), F.col("class_p").alias("class"), F.col("chunk_p").alias("chunk"), "tile", F.expr(f"case when {alone} then -1 else 0 end").alias("side"))
+    ends = ends.unionByName(meets.where(f"not ({alone})").select("grp", F.col("band_q").alias("band"), F.col("class_q").alias("class"), F.col("chunk_q").alias("chunk"), "tile", F.lit(1).alias("side")))
+    placed = large.join(cells, ["grp", "band", "class"]).withColumn("chunk", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.col("own")))
+    rows = placed.select("grp", "band", "class", "chunk", "doc_id", "f1", "n_shingles").join(ends, ["grp", "band", "class", "chunk"]).select("tile", "side", "doc_id", "f1", "n_shingles")
+    return edges.unionByName(_meet(rows.join(payload, ["doc_id", "f1"]), percent, exact, False).select("a", "b"))
 
 
 def join(docs: DataFrame, workdir: str, percent: int = 90, k: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text).
 
-    Two documents link when 100 * |A and B| >= percent * |A or B| over their sets of k-word
-    shingles (A-Z lower-cased). Intermediate tables go below `workdir` (shared storage).
+    Two documents link when 100 * |A and B| >= percent * |A or B| (percent 1 to 100) over their
+    sets of k-word shingles (A-Z lower-cased). Intermediate tables go below `workdir` (shared storage).
     """
+    if not 1 <= percent <= 100 or k < 1:
+        raise ValueError("percent must lie in 1..100, and k be 1 at least")
     ship(docs.sparkSession)
-    feats = materialise(features(docs, percent, k), f"{workdir}/features")
+    feats = materialise(features(docs, frequencies(docs, k, workdir), percent, k), f"{workdir}/features")
     slim = feats.select("doc_id", "n_shingles", "f1", "f2")
     reps = materialise(slim.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep")), f"{workdir}/reps")
 
     keyed = feats.where("doc_id is not null").select(F.explode("keys").alias("key"), "f1")
-    shared = materialise(keyed.groupBy("key").agg(F.min("f1").alias("low"), F.max("f1").alias("high")).where("low <> high").select("key", "low"), f"{workdir}/shared")
-    ties = by_bits(keyed, "key", bit_table(shared, "key", f"{workdir}/shared-bits"), True).join(shared, "key").where("f1 <> low").select(F.col("f1").alias("a"), F.col("low").alias("b")).distinct()
-    groups = components(ties, f"{workdir}/ties").select(F.col("node").alias("f1"), F.col("component").alias("grp"))
-    cand = reps.join(groups, "f1").select(F.col("rep").alias("doc_id"), "n_shingles", "f1", "f2", "grp")
-
-    tiles = _tiles(cand.select("doc_id", "grp", "n_shingles"), workdir, percent)
+    shared = materialise(keyed.groupBy("key").agg(F.min("f1").alias("low"), F.max("f1").alias("high")).where("low <> high").select("key"), f"{workdir}/shared")
+    held = by_bits(keyed, "key", bit_table(shared, "key", f"{workdir}/shared-bits"), True).join(shared, "key").distinct()
+    held = materialise(held, f"{workdir}/held")
+    # lists of equal holders, by two sums of 32-bit hashes, are one
+    low32 = 0xFFFFFFFF
+    sums = [F.sum(F.xxhash64(F.lit(s), "f1").bitwiseAND(F.lit(low32).cast("long"))).alias(f"s{s}") for s in (0, 1)]
+    lists = held.groupBy("key").agg(F.count("*").alias("n"), *sums, F.min("f1").alias("lo"), F.max("f1").alias("hi")).groupBy("n", "s0", "s1", "lo", "hi").agg(F.min("key").alias("key")).select("key")
+    holders = held.join(materialise(lists, f"{workdir}/lists"), "key").join(reps, "f1").select(F.col("key").alias("grp"), F.col("rep").alias("doc_id"), "f1", "n_shingles")
+    holders = materialise(holders, f"{workdir}/holders")
+
+    wanted = materialise(holders.select("doc_id").distinct(), f"{workdir}/wanted")
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    texts = by_bits(texts, "doc_id", bit_table(tiles.select("doc_id"), "doc_id", f"{workdir}/tile-bits"), True).join(tiles, "doc_id")
+    texts = by_bits(texts, "doc_id", bit_table(wanted, "doc_id", f"{workdir}/wanted-bits"), True).join(wanted, "doc_id", "left_semi")
 
-    def sets(batches):
+    def build(batches):
         enter("jaccard")
         for b in batches:
-            text = b.column("text")
-            for lo, hi in slices(text):
-                found = shingles(Words(text.slice(lo, hi - lo), lower=True), k)
-                rows = [(t["tile"], t["side"], doc, s.tobytes()) for doc, s, own in zip(b.column("doc_id").slice(lo, hi - lo).to_pylist(), found, b.column("tiles").slice(lo, hi - lo).to_pylist()) for t in own if len(s)]
+            for lo, hi, found in _sets(b.column("text"), k):
+                rows = [(doc, len(s), mix(s).sum(dtype=U).view(np.int64), bitmap(s).tobytes(), s.tobytes()) for doc, s in zip(b.column("doc_id").slice(lo, hi - lo).to_pylist(), found) if len(s)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["tile", "side", "doc_id", "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["doc_id", "n_shingles", "f1", "map", "shingles"])
+
+    # a doc_id may stand at several texts: the set meant is the one of its node
+    sets = texts.mapInArrow(build, "doc_id long, n_shingles long, f1 long, map binary, shingles binary")
+    sets = materialise(sets.join(holders.select("doc_id", "n_shingles", "f1").distinct(), ["doc_id", "n_shingles", "f1"], "left_semi").dropDuplicates(["doc_id", "f1"]), f"{workdir}/sets")
 
-    links = materialise(_verify(texts.mapInArrow(sets, "tile long, side int, doc_id long, shingles binary"), percent), f"{workdir}/links")
+    near = materialise(_forests(holders, sets, f"{workdir}/near", percent, False), f"{workdir}/near-edges")
+    groups = components(near, f"{workdir}/near-cc").select(F.col("node").alias("doc_id"), F.col("component").alias("grp"))
+    cand = groups.join(holders.select("doc_id", "f1", "n_shingles").distinct(), "doc_id")
+    links = materialise(_forests(cand, sets, f"{workdir}/exact", percent, True), f"{workdir}/links")
     comps = materialise(components(links, f"{workdir}/final"), f"{workdir}/comps").select(F.col("node").alias("rep"), "component")
     out = slim.join(reps, ["n_shingles", "f1", "f2"], "left").join(comps, "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))

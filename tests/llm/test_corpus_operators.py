@@ -261,17 +261,52 @@ def test_jaccard_near_the_threshold(spark, work, monkeypatch):
     check_jaccard(spark, rows, work)
 
 
-def test_part_keys_share_one_for_every_link():
+def test_prefixes_share_one_for_every_link():
+    """Whatever the order of shingles and the threshold."""
     rng = np.random.default_rng(4)
-    for n in (*range(1, 60), 100, 333, 1000):
-        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
-        for _ in range(5):
-            drop = int(rng.integers(0, max(1, n // 9) + 1))
-            b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(0, 2**64, int(rng.integers(0, max(1, n // 15) + 1)), dtype=np.uint64)]))
-            both = len(np.intersect1d(a, b))
-            if len(b) and 100 * both >= 90 * (len(a) + len(b) - both):
-                row, key = jaccard.part_keys([a, b], 90)
-                assert set(key[row == 0].tolist()) & set(key[row == 1].tolist())
+    for percent in (1, 34, 50, 80, 90, 100):
+        levels = rng.integers(0, 256, 1 << jaccard.BUCKETS).astype(np.uint8)
+        for n in (*range(1, 40), 100, 333):
+            a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            for _ in range(5):
+                drop = int(rng.integers(0, n * (100 - percent) // 100 + 1))
+                b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(0, 2**64, int(rng.integers(0, n * (100 - percent) // 200 + 1)), dtype=np.uint64)]))
+                both = len(np.intersect1d(a, b))
+                if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
+                    row, key = jaccard.prefixes([a, np.zeros(0, np.uint64), b], levels, percent)
+                    assert set(key[row == 0].tolist()) & set(key[row == 2].tolist()) and not (row == 1).any()
+
+
+def test_bitmaps_bound_the_overlap():
+    rng = np.random.default_rng(8)
+    pool = rng.integers(0, 2**64, 9000, dtype=np.uint64)
+    for _ in range(60):
+        n = int(rng.choice([3, 100, 300, 1000, 4000]))
+        sets = [np.unique(rng.choice(pool, int(n * rng.uniform(0.7, 1)))) for _ in range(6)]
+        size, maps = np.array([len(x) for x in sets]), [jaccard.bitmap(x) for x in sets]
+        for percent in (5, 50, 80):
+            want = {frozenset((x, y)) for x in range(6) for y in range(x) if 100 * len(np.intersect1d(sets[x], sets[y])) >= percent * len(np.union1d(sets[x], sets[y]))}
+            for given in (None, sets):
+                edges, label = jaccard.tile_links(size, maps, given, np.full(6, -1), percent)
+                assert all(label[x] == label[y] for x, y in want)
+                if given is not None:
+                    assert {frozenset(e) for e in edges} <= want
+
+
+@pytest.mark.parametrize("percent,k", [(90, 3), (80, 5), (40, 2)])
+def test_jaccard_of_chains(spark, work, monkeypatch, percent, k):
+    """Large groups whose centres reach few members: texts that slide over a long one, with a passage that unlike texts share."""
+    monkeypatch.setattr(jaccard, "TILE_DOCS", 6)
+    monkeypatch.setattr(jaccard, "STARS", 2)
+    long = [f"s{j}" for j in range(200)]
+    passage = [f"v{j}" for j in range(30)]
+    rows = [(j, " ".join(long[2 * j : 2 * j + 70])) for j in range(60)]
+    rows += [(100 + j, " ".join(passage + [f"u{j}t{i}" for i in range(j % 20)])) for j in range(50)]
+    rows += [(200 + j, " ".join(long[j * 9 : j * 9 + 70 + j])) for j in range(12)]
+    sets = brute_sets(rows, k)
+    want = find_all(brute_links(sets, percent), {d for d, _ in rows})
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), work, percent=percent, k=k).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {d: (len(s), want[d]) for d, s in sets}
 
 
 def test_jaccard_of_five_words(spark, work, monkeypatch):
@@ -298,15 +333,6 @@ def test_jaccard_of_five_words(spark, work, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {d: (len(s), want[d]) for d, s in sets}
 
 
-def test_large_groups_meet_across_bands(spark, work, monkeypatch):
-    """Every two sizes that may link share a tile."""
-    monkeypatch.setattr(jaccard, "TILE_DOCS", 8)
-    df = spark.createDataFrame([(n, 1, n) for n in range(1, 200)], "doc_id long, grp long, n_shingles long")
-    for percent in (80, 90):
-        of = {r.doc_id: {t.tile for t in r.tiles} for r in jaccard._tiles(df, f"{work}/{percent}", percent).collect()}
-        assert all(of[a] & of[b] for a in of for b in of if a < b and 100 * a >= percent * b)
-
-
 # -- embeddings --
 
 
