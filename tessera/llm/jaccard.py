@@ -2,15 +2,17 @@
 
 Steps, all over whole texts:
 
-1. `frequencies`: in how many documents each shingle stands, counted over all of them in
-   2^BUCKETS hashed counters. The table (8 MB, whatever the data) only orders shingles.
-2. `features`: the distinct k-word shingle hashes of every text give its size n, a 128-bit
-   fingerprint, and its prefix: the n - ceil(n t) + 1 shingles that come first by (counter,
-   hash). Two sets that link share at least ceil(n t) shingles, so their prefixes have one in
-   common, whatever the order; rare shingles first keeps passages that many documents share
-   out of the prefixes.
-3. Copies collapse: sets equal in fingerprint are one node from here on. The holders of a
-   prefix shingle that more than one set has are a list; lists with equal holders are one.
+1. `features`: the distinct k-word shingle hashes of every text give its size n and a 128-bit
+   fingerprint. Copies collapse: sets equal in fingerprint are one node from here on.
+2. `shared`: two sets that link share at least ceil(n t) shingles, so in any common order the
+   first p = n - ceil(n t) + 1 of each hold a common one. A shingle that one set alone has can
+   stand first without harm. Every text sends its shingles below a fixed hash (SPREAD times
+   the share of p), and its first p by hash at least, to where the hash is counted; what comes
+   back are the shingles of more than one set.
+3. A text whose u unshared shingles below that hash are p or more links with nothing. Of the
+   others the first p - u shared shingles by hash are kept: passages that many documents share
+   do no harm as long as a text has enough words of its own. The holders of a kept shingle are
+   a list; lists with equal holders are one.
 4. Only the holders' texts are read again (a bitmap of fixed size sorts most others out before
    the join) into a table of sets and hashed bitmaps.
 5. Holders of a list meet in tiles. Bit counts of the bitmaps bound an overlap from above; a
@@ -21,12 +23,14 @@ Steps, all over whole texts:
    components of these links, with the copies joined back, are the result.
 
 A list or group goes to one tile. A large one first meets its STARS centres (bounded tiles,
-linear in its size): holders that a centre is connected to need no comparison among
-themselves. What is left is cut by size band (ratio just above 100 / t, only equal and adjacent
-bands meet), by centre and into chunks, and each pair of chunks is a tile of bounded size.
+linear in its size); of the components this makes, the members of the group's largest need
+no comparison among themselves. What is left is cut by size band (ratio just above 100 / t,
+only equal and adjacent bands meet) and into chunks, and each pair of chunks, unless both are
+of the largest component, is a tile of bounded size.
 
-Hot shingles, fingerprints and nodes: aggregations combine on the map side, and joins read
-tables from shared storage on both sides so that the adaptive skew join can split a hot key.
+Hot shingles, fingerprints and nodes: a task sends a shingle once however many of its texts
+hold it, aggregations combine on the map side, and joins read tables from shared storage on
+both sides so that the adaptive skew join can split a hot key.
 
 Defined results: null or empty text, or one without words: no shingles, linked with nothing,
 component = its own doc_id. A null doc_id links with nothing and has a null component.
@@ -44,8 +48,10 @@ from pyspark.sql import functions as F
 from .common import bit_table, by_bits, components, enter, materialise, ship
 from .textops import U, Words, mix, shingles, slices
 
-FEATURES = "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>"
-BUCKETS, SEGMENT = 23, 16  # bits of the frequency table, and of one of its segments
+FEATURES = "doc_id long, n_shingles long, n_low long, f1 long, f2 long"
+SPREAD = 1.75  # shingles sent for each that a prefix needs
+HOLD = 1 << 21  # shingles that a task holds before it sends them
+TOP = U(1 << 63)
 TILE_DOCS, TILE_SHINGLES, STARS = 512, 1 << 21, 8
 
 
@@ -55,78 +61,121 @@ def _sets(col, k: int):
         yield lo, hi, shingles(Words(col.slice(lo, hi - lo), lower=True), k)
 
 
-def frequencies(docs: DataFrame, k: int, workdir: str) -> np.ndarray:
-    """Per hashed counter the size class (quarter octaves) of the number of documents whose shingles fall in it."""
+def ceiling(percent: int) -> np.uint64:
+    """Shingles with hashes below it are sent by every text that has them."""
+    return U(min((1 << 64) - 1, int(SPREAD * (100 - percent) / 100 * (1 << 64))))
 
-    def count(batches):
-        import zstandard
 
-        enter("jaccard")
-        table = np.zeros(1 << BUCKETS, np.uint32)
-        for b in batches:
-            for _, _, sets in _sets(b.column("text"), k):
-                if sets:
-                    np.add.at(table, (np.concatenate(sets) >> U(64 - BUCKETS)).astype(np.int64), np.uint32(1))
-        z = zstandard.ZstdCompressor(level=1)
-        for s, part in enumerate(table.reshape(-1, 1 << SEGMENT)):
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([z.compress(part.tobytes())], pa.binary())], ["segment", "counts"])
-
-    def add(batches):
-        import zstandard
-
-        sums: dict[int, np.ndarray] = {}  # at most 2^(BUCKETS - SEGMENT) arrays of fixed size
-        z = zstandard.ZstdDecompressor()
-        for b in batches:
-            for s, data in zip(b.column("segment").to_pylist(), b.column("counts").to_pylist()):
-                part = np.frombuffer(z.decompress(data), np.uint32).astype(np.int64)
-                sums[s] = sums[s] + part if s in sums else part
-        for s, n in sums.items():
-            level = np.minimum(4 * np.log2(np.maximum(n, 1)), 255).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["segment", "levels"])
-
-    parts = docs.selectExpr("cast(text as string) text").mapInArrow(count, "segment int, counts binary")
-    found = materialise(parts.repartition("segment").mapInArrow(add, "segment int, levels binary"), f"{workdir}/frequencies")
-    out = np.zeros((1 << (BUCKETS - SEGMENT), 1 << SEGMENT), np.uint8)
-    for r in found.collect():  # 8 MB at most
-        out[r["segment"]] = np.frombuffer(r["levels"], np.uint8)
-    return out.reshape(-1)
-
-
-def prefixes(sets: list[np.ndarray], levels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row of each prefix shingle, shingle) of a batch's sets."""
-    size = np.array([len(s) for s in sets], np.int64)
-    flat = np.concatenate(sets) if sets else np.zeros(0, U)
-    row = np.repeat(np.arange(len(sets)), size)
-    want = np.where(size > 0, size - -(-size * percent // 100) + 1, 0)
-    order = np.lexsort((flat, levels[(flat >> U(64 - BUCKETS)).astype(np.int64)], row))
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-    at = order[place < want[row]]
-    return row[at], flat[at]
-
-
-def features(docs: DataFrame, levels: np.ndarray, percent: int, k: int) -> DataFrame:
+def fingerprint(s: np.ndarray) -> np.int64:
+    return mix(s).sum(dtype=U).view(np.int64)
+
+
+def needed(size, percent: int):
+    """Length of a prefix that holds a common shingle of every two sets that link."""
+    return size - -(-size * percent // 100) + 1
+
+
+def features(docs: DataFrame, percent: int, k: int) -> DataFrame:
     """FEATURES of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)  # 8 MB
+    limit = ceiling(percent)
 
     def run(batches):
         enter("jaccard")
         for b in batches:
             ids, text = b.column("doc_id"), b.column("text")
             for lo, hi, sets in _sets(text, k):
-                row, key = prefixes(sets, shared.value, percent)
-                offsets = np.zeros(len(sets) + 1, np.int32)
-                np.cumsum(np.bincount(row, minlength=len(sets)), out=offsets[1:])
-                f1 = np.array([mix(s).sum(dtype=U) if len(s) else U(0) for s in sets], U)
-                f2 = np.array([mix(s ^ U(0xD6E8FEB86659FD93)).sum(dtype=U) if len(s) else U(0) for s in sets], U)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(key.view(np.int64)))],
-                    ["doc_id", "n_shingles", "f1", "f2", "keys"],
-                )
+                low = [int(np.searchsorted(s, limit)) for s in sets]
+                f1 = [fingerprint(s) for s in sets]
+                f2 = [fingerprint(s ^ U(0xD6E8FEB86659FD93)) for s in sets]
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), *(pa.array(c, pa.int64()) for c in ([len(s) for s in sets], low, f1, f2))], ["doc_id", "n_shingles", "n_low", "f1", "f2"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, FEATURES)
 
 
+def _grouped(key: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs by key, where each key's pairs begin, and how many they are."""
+    order = np.lexsort((f, key))
+    key, f = key[order], f[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (f[1:] != f[:-1])
+    key, f = key[new], f[new]
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return key, f, start, np.diff(np.r_[start, len(key)])
+
+
+def shared(docs: DataFrame, percent: int, k: int) -> DataFrame:
+    """(key, f1): the shingles that several sets have, with these sets, among those that texts send.
+
+    key orders as a signed number like the hash does unsigned. Rows may repeat.
+    """
+    limit = ceiling(percent)
+    parts = 64
+    while parts < 2 * docs._jdf.queryExecution().toRdd().getNumPartitions():
+        parts *= 2
+
+    def send(batches):
+        enter("jaccard")
+        keys: list[np.ndarray] = []
+        owners: list[np.ndarray] = []
+
+        def flush():
+            key, f, start, n = _grouped(np.concatenate(keys), np.concatenate(owners))
+            keys.clear()
+            owners.clear()
+            several = n > 1
+            own = np.repeat(several, n)
+            # known to be shared: the pairs pass on as they are, and one tells the others
+            for kind, at in ((2, np.flatnonzero(own)), (1, start[several]), (0, start[~several])):
+                part = (mix(key[at]) & U(parts - 1)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                at, part = at[order], part[order]
+                cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
+                for a, b in zip(cut, [*cut[1:], len(part)]):
+                    yield int(part[a]), kind, key[at[a:b]].tobytes(), f[at[a:b]].tobytes()
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["part", "kind", "keys", "owners"])
+
+        held = 0
+        for b in batches:
+            for _, _, sets in _sets(b.column("text"), k):
+                sent = [s[: max(int(np.searchsorted(s, limit)), needed(len(s), percent))] for s in sets if len(s)]
+                if sent:
+                    keys.append(np.concatenate(sent))
+                    owners.append(np.repeat(np.array([fingerprint(s) for s in sets if len(s)], np.int64), [len(s) for s in sent]))
+                    held += len(keys[-1])
+                if held >= HOLD:
+                    rows, held = list(flush()), 0
+                    yield batch()
+        if held and (rows := list(flush())):
+            yield batch()
+
+    def meet(batches):
+        enter("jaccard")
+        now, held = None, {0: [], 1: [], 2: []}
+
+        def finish():
+            key, f, start, n = _grouped(*(np.concatenate([p[c] for kind in (0, 1) for p in held[kind]] or [np.zeros(0, t)]) for c, t in ((0, U), (1, np.int64))))
+            told = np.unique(np.concatenate([p[0] for p in held[1]])) if held[1] else np.zeros(0, U)
+            hit = np.repeat((n > 1) | np.isin(key[start], told), n)
+            key, f = (np.concatenate([x, *(p[c] for p in held[2])]) for c, x in ((0, key[hit]), (1, f[hit])))
+            for x in held.values():
+                x.clear()
+            for a in range(0, len(key), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array((key[a : a + (1 << 18)] ^ TOP).view(np.int64)), pa.array(f[a : a + (1 << 18)])], ["key", "f1"])
+
+        for b in batches:
+            for part, kind, keys, owners in zip(*(b.column(c).to_pylist() for c in ("part", "kind", "keys", "owners"))):
+                if part != now:
+                    yield from finish()
+                    now = part
+                held[kind].append((np.frombuffer(keys, U), np.frombuffer(owners, np.int64)))
+        yield from finish()
+
+    sent = docs.where("doc_id is not null").selectExpr("cast(text as string) text").mapInArrow(send, "part int, kind int, keys binary, owners binary")
+    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "key long, f1 long")
+
+
 def bitmap(s: np.ndarray) -> np.ndarray:
     """Hashed bitmap of a set as 64-bit words: the least power of two of bits that is twice its size, 256 to 8192."""
     width = 256
@@ -192,12 +241,12 @@ def tile_links(sizes: np.ndarray, maps: list[np.ndarray], sets: list[np.ndarray]
 
 
 def _meet(rows: DataFrame, percent: int, exact: bool, star: bool) -> DataFrame:
-    """Forests (a, b) of rows (tile, side, doc_id, n_shingles, map[, shingles]), a tile's rows together.
+    """Edges (a, b) of rows (tile, side, doc_id, n_shingles, map[, shingles]), a tile's rows together.
 
-    star: rows of side 1 are centres, and rows (grp, doc_id, class) stand among the edges: of each
-    centre, and of each holder connected to one, the least of the centres connected with it.
+    A spanning forest of a tile's links; star: rows of side 1 are centres, and every link of a
+    centre counts.
     """
-    columns = ["tile", "side", "doc_id", "n_shingles", "map"] + ["shingles"] * exact + ["grp"] * star
+    columns = ["tile", "side", "doc_id", "n_shingles", "map"] + ["shingles"] * exact
 
     def run(batches):
         enter("jaccard")
@@ -209,29 +258,22 @@ def _meet(rows: DataFrame, percent: int, exact: bool, star: bool) -> DataFrame:
                 side, ids, size = (np.array([h[c] for h in held], np.int64) for c in range(3))
                 maps = [np.frombuffer(h[3], np.uint64) for h in held]
                 sets = [np.frombuffer(h[4], U) for h in held] if exact else None
+
+                def links(at: np.ndarray, who: np.ndarray) -> None:
+                    forest, _ = tile_links(size[at], [maps[k] for k in at], [sets[k] for k in at] if exact else None, who, percent)
+                    edges.extend((int(ids[at[x]]), int(ids[at[y]])) for x, y in forest)
+
                 if star:
                     centres, rest = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
-                    # centres among themselves first: every tile of a group finds the same
-                    pick = lambda at: (size[at], [maps[k] for k in at], [sets[k] for k in at] if exact else None)
-                    forest, label = tile_links(*pick(centres), np.full(len(centres), -1), percent)
-                    edges.extend((None, int(ids[centres[x]]), int(ids[centres[y]])) for x, y in forest)
-                    for c in np.unique(label):
-                        near = centres[label == c]
-                        own = int(ids[near].min())
-                        edges.extend((held[k][-1], int(ids[k]), own) for k in near)
-                        at = np.concatenate([rest, near])
-                        who = np.concatenate([np.zeros(len(rest), np.int64), np.ones(len(near), np.int64)])
-                        forest, found = tile_links(*pick(at), who, percent)
-                        edges.extend((None, int(ids[at[x]]), int(ids[at[y]])) for x, y in forest)
-                        hit = np.isin(found[: len(rest)], found[len(rest) :])
-                        edges.extend((held[k][-1], int(ids[k]), own) for k in rest[hit])
-                        rest = rest[~hit]
+                    links(centres, np.full(len(centres), -1))
+                    for c in centres:
+                        links(np.append(rest, c), np.append(np.zeros(len(rest), np.int64), 1))
                 else:
-                    edges.extend((None, int(ids[x]), int(ids[y])) for x, y in tile_links(size, maps, sets, side, percent)[0])
+                    links(np.arange(len(held)), side)
             held.clear()
 
         def batch():
-            out = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges)], ["grp", "a", "b"])
+            out = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges)], ["a", "b"])
             edges.clear()
             return out
 
@@ -248,7 +290,7 @@ def _meet(rows: DataFrame, percent: int, exact: bool, star: bool) -> DataFrame:
         if edges:
             yield batch()
 
-    return rows.select(columns).repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "grp long, a long, b long")
+    return rows.select(columns).repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
 
 
 def _forests(cand: DataFrame, sets: DataFrame, at: str, percent: int, exact: bool) -> DataFrame:
@@ -260,38 +302,37 @@ def _forests(cand: DataFrame, sets: DataFrame, at: str, percent: int, exact: boo
     cut = F.greatest(F.ceil(F.col("g_docs") / TILE_DOCS), F.ceil(F.col("g_weight") / TILE_SHINGLES))
     cand = cand.join(groups.select("grp", cut.alias("cuts")), "grp")
     small = cand.where("cuts <= 1").select(F.xxhash64("grp").alias("tile"), F.lit(-1).alias("side"), "doc_id", "f1", "n_shingles")
-    edges = _meet(small.join(payload, ["doc_id", "f1"]), percent, exact, False).select("a", "b")
+    edges = _meet(small.join(payload, ["doc_id", "f1"]), percent, exact, False)
     if groups.where(cut > 1).isEmpty():
         return edges
-    edges = materialise(edges, f"{at}/small")
     large = materialise(cand.where("cuts > 1").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("cuts"))), f"{at}/large")
-    # centres: the STARS least hashes of a group, from the least of each chunk of few
+    # centres: of each of STARS parts of a group by hash, the one with the least other hash
     least = large.groupBy("grp", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(STARS)).alias("k")).agg(F.min(F.struct(F.xxhash64(F.lit(2), "doc_id").alias("h"), "doc_id", "f1", "n_shingles", "cuts")).alias("c"))
     centres = materialise(least.select("grp", "c.doc_id", "c.f1", "c.n_shingles", "c.cuts"), f"{at}/centres")
     tile = F.xxhash64("grp", "chunk").alias("tile")
-    holders = large.join(centres.select("grp", "doc_id", "f1"), ["grp", "doc_id", "f1"], "left_anti").select("grp", tile, F.lit(0).alias("side"), "doc_id", "f1", "n_shingles")
-    stars = centres.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))).select("grp", tile, F.lit(1).alias("side"), "doc_id", "f1", "n_shingles")
-    star = materialise(_meet(holders.unionByName(stars).join(payload, ["doc_id", "f1"]), percent, exact, True), f"{at}/star")
-    edges = edges.unionByName(star.where("grp is null").select("a", "b"))
-    marks = star.where("grp is not null").select("grp", F.col("a").alias("doc_id"), F.col("b").alias("class")).groupBy("grp", "doc_id").agg(F.min("class").alias("class"))
-    large = large.drop("chunk", "cuts").join(marks, ["grp", "doc_id"], "left").withColumn("class", F.coalesce("class", F.lit(-1).cast("long")))
-    # groups of one class are done
-    open_ = large.groupBy("grp").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi or lo = -1").select("grp")
-    large = large.join(materialise(open_, f"{at}/open"), "grp", "left_semi").withColumn("band", F.floor(F.log("n_shingles") / F.log(F.lit(100.8 / percent))).cast("int"))
-    large = materialise(large, f"{at}/rest")
+    holders = large.join(centres.select("grp", "doc_id", "f1"), ["grp", "doc_id", "f1"], "left_anti").select(tile, F.lit(0).alias("side"), "doc_id", "f1", "n_shingles")
+    stars = centres.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))).select(tile, F.lit(1).alias("side"), "doc_id", "f1", "n_shingles")
+    edges = materialise(edges.unionByName(_meet(holders.unionByName(stars).join(payload, ["doc_id", "f1"]), percent, exact, True)), f"{at}/edges")
+    found = materialise(components(edges, f"{at}/near"), f"{at}/found").select(F.col("node").alias("doc_id"), "component")
+    large = materialise(large.select("grp", "doc_id", "f1", "n_shingles").join(found, "doc_id", "left"), f"{at}/placed")
+    parts = large.groupBy("grp", "component").agg(F.count("*").alias("n")).groupBy("grp").agg(F.sum("n").alias("all"), F.max(F.when(F.col("component").isNotNull(), F.struct("n", "component"))).alias("top"))
+    parts = materialise(parts.where("top is null or top.n < all").select("grp", F.col("top.component").alias("main")), f"{at}/open")  # the others are one component
+    large = large.join(parts, "grp").withColumn("main", F.coalesce(F.col("component") == F.col("main"), F.lit(False))).withColumn("band", F.floor(F.log("n_shingles") / F.log(F.lit(100.8 / percent))).cast("int"))
+    large = materialise(large.drop("component"), f"{at}/rest")
     if large.isEmpty():
         return edges
-    cells = large.groupBy("grp", "band", "class").agg(F.greatest(F.ceil(F.count("*") / TILE_DOCS), F.ceil(F.sum(weight) / TILE_SHINGLES)).alias("own"))
-    chunks = materialise(cells.select("grp", "band", "class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own") - 1)).alias("chunk")), f"{at}/chunks")
-    left, right = (chunks.select("grp", F.col("band").alias(f"band_{s}"), F.col("class").alias(f"class_{s}"), F.col("chunk").alias(f"chunk_{s}")) for s in "pq")
-    meets = left.join(right, "grp").where("band_p in (band_q, band_q - 1) and (class_p <> class_q or class_p = -1) and (band_p < band_q or class_p < class_q or (class_p = class_q and chunk_p <= chunk_q))")
-    meets = materialise(meets.withColumn("tile", F.xxhash64("grp", "band_p", "class_p", "chunk_p", "band_q", "class_q", "chunk_q")), f"{at}/meets")
-    alone = "band_p = band_q and class_p = class_q and chunk_p = chunk_q"
-    ends = meets.select("grp", F.col("band_p").alias("band"), F.col("class_p").alias("class"), F.col("chunk_p").alias("chunk"), "tile", F.expr(f"case when {alone} then -1 else 0 end").alias("side"))
-    ends = ends.unionByName(meets.where(f"not ({alone})").select("grp", F.col("band_q").alias("band"), F.col("class_q").alias("class"), F.col("chunk_q").alias("chunk"), "tile", F.lit(1).alias("side")))
-    placed = large.join(cells, ["grp", "band", "class"]).withColumn("chunk", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.col("own")))
-    rows = placed.select("grp", "band", "class", "chunk", "doc_id", "f1", "n_shingles").join(ends, ["grp", "band", "class", "chunk"]).select("tile", "side", "doc_id", "f1", "n_shingles")
-    return edges.unionByName(_meet(rows.join(payload, ["doc_id", "f1"]), percent, exact, False).select("a", "b"))
+    cells = materialise(large.groupBy("grp", "band", "main").agg(F.greatest(F.ceil(F.count("*") / TILE_DOCS), F.ceil(F.sum(weight) / TILE_SHINGLES)).alias("own")), f"{at}/cells")
+    chunks = cells.select("grp", "band", "main", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own") - 1)).alias("chunk"))
+    left, right = (chunks.select("grp", F.col("band").alias(f"band_{s}"), F.col("main").alias(f"main_{s}"), F.col("chunk").alias(f"chunk_{s}")) for s in "pq")
+    # every two cells of equal or adjacent bands once
+    meets = left.join(right, "grp").where("band_p in (band_q, band_q - 1) and not (main_p and main_q) and (band_p < band_q or main_p < main_q or (main_p = main_q and chunk_p <= chunk_q))")
+    meets = materialise(meets.withColumn("tile", F.xxhash64("grp", "band_p", "main_p", "chunk_p", "band_q", "main_q", "chunk_q")), f"{at}/meets")
+    alone = "band_p = band_q and main_p = main_q and chunk_p = chunk_q"
+    ends = meets.select("grp", F.col("band_p").alias("band"), F.col("main_p").alias("main"), F.col("chunk_p").alias("chunk"), "tile", F.expr(f"case when {alone} then -1 else 0 end").alias("side"))
+    ends = ends.unionByName(meets.where(f"not ({alone})").select("grp", F.col("band_q").alias("band"), F.col("main_q").alias("main"), F.col("chunk_q").alias("chunk"), "tile", F.lit(1).alias("side")))
+    placed = large.join(cells, ["grp", "band", "main"]).withColumn("chunk", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.col("own")))
+    rows = placed.select("grp", "band", "main", "chunk", "doc_id", "f1", "n_shingles").join(ends, ["grp", "band", "main", "chunk"]).select("tile", "side", "doc_id", "f1", "n_shingles")
+    return edges.unionByName(_meet(rows.join(payload, ["doc_id", "f1"]), percent, exact, False))
 
 
 def join(docs: DataFrame, workdir: str, percent: int = 90, k: int = 3) -> DataFrame:
@@ -303,19 +344,21 @@ def join(docs: DataFrame, workdir: str, percent: int = 90, k: int = 3) -> DataFr
     if not 1 <= percent <= 100 or k < 1:
         raise ValueError("percent must lie in 1..100, and k be 1 at least")
     ship(docs.sparkSession)
-    feats = materialise(features(docs, frequencies(docs, k, workdir), percent, k), f"{workdir}/features")
-    slim = feats.select("doc_id", "n_shingles", "f1", "f2")
-    reps = materialise(slim.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep")), f"{workdir}/reps")
-
-    keyed = feats.where("doc_id is not null").select(F.explode("keys").alias("key"), "f1")
-    shared = materialise(keyed.groupBy("key").agg(F.min("f1").alias("low"), F.max("f1").alias("high")).where("low <> high").select("key"), f"{workdir}/shared")
-    held = by_bits(keyed, "key", bit_table(shared, "key", f"{workdir}/shared-bits"), True).join(shared, "key").distinct()
-    held = materialise(held, f"{workdir}/held")
+    slim = materialise(features(docs, percent, k), f"{workdir}/features")
+    reps = materialise(slim.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "n_low", "f1", "f2").agg(F.min("doc_id").alias("rep")), f"{workdir}/reps")
+
+    known = materialise(shared(docs, percent, k), f"{workdir}/shared")
+    mine = known.groupBy("f1").agg(F.sort_array(F.collect_set("key")).alias("keys")).join(reps, "f1")  # no more keys than the text has shingles
+    low = int((ceiling(percent) ^ TOP).view(np.int64))
+    want = f"n_shingles - (n_shingles * {percent} + 99) div 100 + 1 - (n_low - below)"  # p - u
+    mine = mine.withColumn("below", F.size(F.filter("keys", lambda x: x < F.lit(low)))).withColumn("want", F.expr(want))
+    mine = mine.where("want > 0").select(F.explode(F.expr("case when below >= want then slice(keys, 1, cast(want as int)) else keys end")).alias("key"), "f1", "rep", "n_shingles")
+    held = materialise(mine, f"{workdir}/held")
     # lists of equal holders, by two sums of 32-bit hashes, are one
     low32 = 0xFFFFFFFF
     sums = [F.sum(F.xxhash64(F.lit(s), "f1").bitwiseAND(F.lit(low32).cast("long"))).alias(f"s{s}") for s in (0, 1)]
-    lists = held.groupBy("key").agg(F.count("*").alias("n"), *sums, F.min("f1").alias("lo"), F.max("f1").alias("hi")).groupBy("n", "s0", "s1", "lo", "hi").agg(F.min("key").alias("key")).select("key")
-    holders = held.join(materialise(lists, f"{workdir}/lists"), "key").join(reps, "f1").select(F.col("key").alias("grp"), F.col("rep").alias("doc_id"), "f1", "n_shingles")
+    lists = held.groupBy("key").agg(F.count("*").alias("n"), *sums, F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").groupBy("n", "s0", "s1", "lo", "hi").agg(F.min("key").alias("key")).select("key")
+    holders = held.join(materialise(lists, f"{workdir}/lists"), "key").select(F.col("key").alias("grp"), F.col("rep").alias("doc_id"), "f1", "n_shingles")
     holders = materialise(holders, f"{workdir}/holders")
 
     wanted = materialise(holders.select("doc_id").distinct(), f"{workdir}/wanted")
@@ -326,7 +369,7 @@ def join(docs: DataFrame, workdir: str, percent: int = 90, k: int = 3) -> DataFr
         enter("jaccard")
         for b in batches:
             for lo, hi, found in _sets(b.column("text"), k):
-                rows = [(doc, len(s), mix(s).sum(dtype=U).view(np.int64), bitmap(s).tobytes(), s.tobytes()) for doc, s in zip(b.column("doc_id").slice(lo, hi - lo).to_pylist(), found) if len(s)]
+                rows = [(doc, len(s), fingerprint(s), bitmap(s).tobytes(), s.tobytes()) for doc, s in zip(b.column("doc_id").slice(lo, hi - lo).to_pylist(), found) if len(s)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["doc_id", "n_shingles", "f1", "map", "shingles"])
 
@@ -339,5 +382,5 @@ def join(docs: DataFrame, workdir: str, percent: int = 90, k: int = 3) -> DataFr
     cand = groups.join(holders.select("doc_id", "f1", "n_shingles").distinct(), "doc_id")
     links = materialise(_forests(cand, sets, f"{workdir}/exact", percent, True), f"{workdir}/links")
     comps = materialise(components(links, f"{workdir}/final"), f"{workdir}/comps").select(F.col("node").alias("rep"), "component")
-    out = slim.join(reps, ["n_shingles", "f1", "f2"], "left").join(comps, "rep", "left")
+    out = slim.join(reps.drop("n_low"), ["n_shingles", "f1", "f2"], "left").join(comps, "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))

@@ -261,20 +261,19 @@ def test_jaccard_near_the_threshold(spark, work, monkeypatch):
     check_jaccard(spark, rows, work)
 
 
-def test_prefixes_share_one_for_every_link():
-    """Whatever the order of shingles and the threshold."""
-    rng = np.random.default_rng(4)
-    for percent in (1, 34, 50, 80, 90, 100):
-        levels = rng.integers(0, 256, 1 << jaccard.BUCKETS).astype(np.uint8)
-        for n in (*range(1, 40), 100, 333):
-            a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
-            for _ in range(5):
-                drop = int(rng.integers(0, n * (100 - percent) // 100 + 1))
-                b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(0, 2**64, int(rng.integers(0, n * (100 - percent) // 200 + 1)), dtype=np.uint64)]))
-                both = len(np.intersect1d(a, b))
-                if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
-                    row, key = jaccard.prefixes([a, np.zeros(0, np.uint64), b], levels, percent)
-                    assert set(key[row == 0].tolist()) & set(key[row == 2].tolist()) and not (row == 1).any()
+def test_kept_shingles_share_one_for_every_link(spark, work):
+    """What `shared` gives back, against brute force, and a task that sends in several rounds."""
+    rows = [(j, edited(j, [f"w{j // 5}x{i}" for i in range(3 + j)] + ["a", "b", "c", "d"], 1)) for j in range(60)] + [(None, "a b c d"), (70, None), (71, "a b c d"), (72, "A b c d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = [s for _, _, found in jaccard._sets(pa.array([t for d, t in rows if d is not None]), 3) for s in found]
+    for percent in (60, 90):
+        sent = [(int(jaccard.fingerprint(s)), s[: max(int(np.searchsorted(s, jaccard.ceiling(percent))), jaccard.needed(len(s), percent))]) for s in sets if len(s)]
+        of = collections.defaultdict(set)
+        for f, s in sent:
+            for x in s.tolist():
+                of[x].add(f)
+        want = {((x ^ (1 << 63)) - (1 << 64) if x ^ (1 << 63) >= 1 << 63 else x ^ (1 << 63), f) for x, own in of.items() if len(own) > 1 for f in own}
+        assert want and {(r.key, r.f1) for r in jaccard.shared(df, percent, 3).collect()} == want
 
 
 def test_bitmaps_bound_the_overlap():
