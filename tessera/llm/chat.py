@@ -15,16 +15,22 @@ result. Everything else is plain.
    a topological order of the conversation; no conversation is gathered in one task.
 4. Every message is serialised as canonical JSON (sorted keys, no blanks, UTF-8).
 
-Only calls and results are shuffled; plain messages pass through.
+Only calls and results are shuffled; plain messages pass through. References order the calls of
+one message; a reference to a call of another message moves nothing.
 
 Defined results: null or empty text is a plain message with content null or ""; a null
-conv_id or turn is kept, and its calls link with nothing; malformed JSON is plain text;
-repeated rows appear repeatedly; other columns are ignored; an empty table gives no rows.
+conv_id or turn is kept, and its calls link with nothing; malformed JSON is plain text, and so
+is JSON with NaN, an infinite number or more nesting than the parser takes; a lone surrogate
+is written as its escape; ties in the order of calls go to the call given first; very long
+texts are parsed whole; repeated rows appear repeatedly; other columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
+import math
 import re
 
 import pyarrow as pa
@@ -37,8 +43,31 @@ PARSED = "conv_id long, turn long, role string, kind string, json string, result
 REFERENCE = re.compile(r"\$\{([^}]+)\}")
 
 
+SURROGATE = re.compile("[\ud800-\udfff]")
+
+
+def plain_text(s: str) -> str:
+    """s with lone surrogates as escapes, so that it has a UTF-8 form."""
+    return SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", s)
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return plain_text(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def _finite(x: str) -> float:
+    value = float(x)
+    if not math.isfinite(value):
+        raise ValueError(f"{x} is no finite number")
+    return value
+
+
+def parsed_json(text: str):
+    """The value of a JSON text; raises ValueError where it is none."""
+    try:
+        return json.loads(text, parse_float=_finite, parse_constant=_finite)
+    except RecursionError as e:
+        raise ValueError("too much nesting") from e
 
 
 def violation(value, schema: dict, path: str = "$") -> str | None:
@@ -48,7 +77,7 @@ def violation(value, schema: dict, path: str = "$") -> str | None:
     if want is not None:
         for w in want if isinstance(want, list) else [want]:
             number = isinstance(value, (int, float)) and not isinstance(value, bool)
-            if (w == "number" and number) or (w == "integer" and number and float(value).is_integer()) or (w in kinds and isinstance(value, kinds[w])):
+            if (w == "number" and number) or (w == "integer" and number and (isinstance(value, int) or value.is_integer())) or (w in kinds and isinstance(value, kinds[w])):
                 break
         else:
             return f"{path}: type"
@@ -87,9 +116,10 @@ def _call(x) -> dict | None:
     name, arguments = inner.get("name"), inner.get("arguments", {})
     if isinstance(arguments, str):
         try:
-            arguments = json.loads(arguments)
-        except ValueError:
-            pass
+            arguments = parsed_json(arguments)
+            canonical(arguments)
+        except (ValueError, RecursionError):
+            arguments = inner["arguments"]
     if not isinstance(name, str):
         return None
     return {"id": None if x.get("id") is None else str(x["id"]), "name": name, "arguments": arguments}
@@ -99,14 +129,20 @@ def ordered(calls: list[dict]) -> tuple[list[dict], bool]:
     """Calls in topological order of their references, first given first; whether there is a cycle."""
     own = {c["id"]: k for k, c in reversed(list(enumerate(calls))) if c["id"] is not None}
     needs = [{own[r] for r in REFERENCE.findall(canonical(c["arguments"])) if r in own} for c in calls]
-    done, out = set(), []
-    while len(out) < len(calls):
-        ready = next((k for k in range(len(calls)) if k not in done and needs[k] <= done), None)
-        if ready is None:
-            return calls, True
-        done.add(ready)
-        out.append(calls[ready])
-    return out, False
+    users: list[list[int]] = [[] for _ in calls]
+    for k, own_needs in enumerate(needs):
+        for n in own_needs:
+            users[n].append(k)
+    left, out = [len(n) for n in needs], []
+    ready = [k for k, n in enumerate(left) if not n]
+    while ready:
+        k = heapq.heappop(ready)
+        out.append(calls[k])
+        for u in users[k]:
+            left[u] -= 1
+            if not left[u]:
+                heapq.heappush(ready, u)
+    return (out, False) if len(out) == len(calls) else (calls, True)
 
 
 def parse_message(turn, role, text, schemas: dict) -> tuple[str, str, str | None, list[dict], bool]:
@@ -114,7 +150,8 @@ def parse_message(turn, role, text, schemas: dict) -> tuple[str, str, str | None
     value = None
     if text and text.lstrip()[:1] == "{" and role in ("assistant", "tool"):
         try:
-            value = json.loads(text)
+            value = parsed_json(text)
+            canonical(value)
         except (ValueError, RecursionError):
             value = None
     if isinstance(value, dict) and role == "assistant" and isinstance(value.get("tool_calls"), list):
@@ -124,10 +161,10 @@ def parse_message(turn, role, text, schemas: dict) -> tuple[str, str, str | None
             listed = []
             for k, c in enumerate(calls):
                 schema = schemas.get(c["name"])
-                listed.append({"id": c["id"], "name": c["name"], "place": k, "problem": ("unknown tool" if schemas else None) if schema is None else violation(c["arguments"], schema)})
+                listed.append({"id": None if c["id"] is None else plain_text(c["id"]), "name": plain_text(c["name"]), "place": k, "problem": ("unknown tool" if schemas else None) if schema is None else plain_text(violation(c["arguments"], schema) or "") or None})
             return "call", canonical({"content": value.get("content"), "role": role, "tool_calls": calls, "turn": turn}), None, listed, cyclic
     if isinstance(value, dict) and role == "tool" and value.get("tool_call_id") is not None:
-        return "result", canonical({"content": value.get("content"), "role": role, "tool_call_id": str(value["tool_call_id"]), "turn": turn}), str(value["tool_call_id"]), [], False
+        return "result", canonical({"content": value.get("content"), "role": role, "tool_call_id": str(value["tool_call_id"]), "turn": turn}), plain_text(str(value["tool_call_id"])), [], False
     return "plain", canonical({"content": text, "role": role, "turn": turn}), None, [], False
 
 
