@@ -15,7 +15,9 @@ Letters are lower-cased, all else is one space. Features come from text alone.
 
 Defined results: null text or text without a letter: `und`, score 0, rejected; ties go to
 the first language in sorted order; null lang or null doc_id teaches nothing; repeated rows
-count each; other columns are ignored; with no training row every text is `und`.
+count each; very long texts are counted and scored whole; columns named lang_pred, lang_score
+or lang_rejected are replaced and the others are kept; with no training row every text is `und`.
+The score is the language's share of the likelihood of the whole text.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from .textops import U, mix, slices
 
 ORDER = 4
 SPACE = 32
+ASTRAL = 0xD800  # up to U+F8FF no code point is a letter: letters above U+FFFF share these places, and none with a letter below
 _LETTER: list[np.ndarray] = []
 
 
@@ -51,7 +54,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     wide = np.flatnonzero(cp > 0xFFFF)
     if len(wide):
         c = c.copy()
-        c[wide] = [(x & 0x7FFF) | 0x4000 if chr(x).isalpha() else SPACE for x in cp[wide].tolist()]
+        c[wide] = [ASTRAL + x % (0xF900 - ASTRAL) if chr(x).isalpha() else SPACE for x in cp[wide].tolist()]
     row = np.repeat(np.arange(len(texts)), size + 1)
     blank = c == SPACE
     keep = np.ones(len(c), bool)
@@ -215,7 +218,7 @@ def classify(model: dict, texts: list[str]) -> tuple[list[str], np.ndarray, np.n
         total[:, j] = np.bincount(row, weights=lp[:, j], minlength=len(texts))
     h = -total / np.maximum(n, 1)[:, None]
     best = h.argmin(1)
-    gain = (h - h.min(1, keepdims=True)) * np.minimum(n, 40)[:, None]
+    gain = (h - h.min(1, keepdims=True)) * n[:, None]  # the whole text's difference in log-likelihood
     score = 1 / np.exp(-gain).sum(1)
     low = h[np.arange(len(texts)), best]
     mean, dev = model["spread"][best].T
