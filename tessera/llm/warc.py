@@ -15,7 +15,8 @@ skew join splits.
 
 Defined results: a null payload counts as empty; a null identifier is written as such and
 never chosen as the first; repeated rows (same identifier and payload) are all responses;
-an empty table gives no bundle and no rows; other input columns are ignored.
+very long payloads are one record in a frame of their own size; an empty table gives no bundle
+and no rows; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -133,11 +134,12 @@ class BundleReader:
         return self.frame(frame)[offset : offset + size]
 
 
-def link(pages: DataFrame, revisit_bytes: int) -> DataFrame:
+def link(pages: DataFrame, revisit_bytes: int, folder: str) -> DataFrame:
     """page_id, url, payload, digest, size and refers_to of each page."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     p = p.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload").cast("long")})
     first = p.where(F.col("size") >= revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first")
+    first = materialise(first, f"{folder}/first")  # read from a table, so that the join's other side is one shuffle that the adaptive skew join can split
     p = p.join(first, (F.col("digest") == F.col("d")) & (F.col("size") >= revisit_bytes), "left")
     return p.withColumn("refers_to", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))).drop("d", "first")
 
@@ -145,7 +147,7 @@ def link(pages: DataFrame, revisit_bytes: int) -> DataFrame:
 def write_bundles(pages: DataFrame, folder: str, revisit_bytes: int = 100, frame_bytes: int = 1 << 18, level: int = 3) -> DataFrame:
     """Write the archives below `folder` (shared storage) and return their index."""
     ship(pages.sparkSession)
-    linked = link(pages, revisit_bytes).withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b"")))
+    linked = link(pages, revisit_bytes, folder).withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b"")))
 
     def run(batches):
         from pyspark import TaskContext
