@@ -469,3 +469,43 @@ def test_bitmap_parts_the_rows(spark, work):
     assert yes.count() + no.count() == df.count()
     assert no.where("k % 2 = 0").count() == 0 and no.where("k % 2 <> 0").count() >= 1490
     assert by_bits(df, "k", bit_table(df.limit(0), "k", work + "-none"), True).count() == 0
+
+
+# -- hostile JSON --
+
+
+def test_hostile_json(spark, work):
+    deep = "[" * 100_000
+    call = lambda arguments: '{"tool_calls": [{"id": "a", "name": "search", "arguments": ' + arguments + "}]}"
+    texts = [call('"' + deep + '"'), call('{"query": "x", "limit": ' + "9" * 400 + "}"), call('{"query": "\\ud800"}'), call('{"query": NaN}'), call('{"query": 1e999}'), call('{"query": ' + deep), call('{"query": ' + "9" * 5000 + "}"), '{"tool_calls": [{"id": "\\udc00", "name": "\\udfff"}]}', '{"tool_calls": 3}', "{"]
+    df = spark.createDataFrame([(1, k, "assistant", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    schemas = {"search": {"type": "object", "properties": {"query": {"type": "string"}, "limit": {"type": "integer"}}}}
+    rows = {r.turn: r for r in chat.format_chats(df, work, schemas).collect()}
+    assert [rows[k].kind for k in range(len(texts))] == ["call", "call", "call", "plain", "plain", "plain", "plain", "call", "plain", "plain"]
+    assert rows[0].n_invalid == 1 and rows[1].n_invalid == 0 and "\\ud800" in rows[2].json
+    for r in rows.values():
+        json.loads(r.json, parse_constant=lambda x: pytest.fail(x))
+
+
+def test_calls_in_topological_order():
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        n = int(rng.integers(1, 30))
+        calls = [{"id": str(k), "name": "f", "arguments": [f"${{{r}}}" for r in rng.integers(0, n + 2, int(rng.integers(0, 2))).tolist()]} for k in range(n)]
+        out, cyclic = chat.ordered(calls)
+        needs = {c["id"]: {r for r in chat.REFERENCE.findall(json.dumps(c["arguments"])) if int(r) < n} for c in calls}
+        want, done = [], set()
+        while nxt := next((c for c in calls if c["id"] not in done and needs[c["id"]] <= done), None):
+            want.append(nxt)
+            done.add(nxt["id"])
+        assert (out, cyclic) == ((want, False) if len(want) == n else (calls, True))
+
+
+def test_letters_outside_the_first_plane():
+    """They share no code with letters below, and long texts are judged by all their letters."""
+    code, row, n = langid.grams(["\U00020000\U00020001 \U0001f642", "一"])
+    assert n.tolist() == [2, 1] and not set((code[row == 0] & np.uint64(0xFFFF)).tolist()) & set(range(0x3400, 0xD800))
+    counts = {x: np.unique(langid.grams([t])[0], return_counts=True) for x, t in {"aa": "abab " * 50, "bb": "baba acac " * 30}.items()}
+    model = langid.build(counts)
+    short, long = (langid.classify(model, ["abab " * k])[1][0] for k in (1, 200))
+    assert 0.5 < short < long <= 1
