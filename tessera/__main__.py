@@ -9,6 +9,7 @@ from .dialect import SqlError
 from .session import Engine
 
 HELP = "\\explain QUERY shows a plan, \\metrics the counters, \\clear clears the screen, \\q leaves; anything else is SQL"
+SHOWN = 1000
 
 
 def run_line(engine: Engine, line: str, out=sys.stdout) -> bool:
@@ -26,12 +27,13 @@ def run_line(engine: Engine, line: str, out=sys.stdout) -> bool:
         print(engine.explain(rest), file=out)
     elif line.strip():
         df = engine.sql(line)
-        rows = df.limit(1000).collect()  # what a prompt shows
+        rows = df.limit(SHOWN + 1).collect()  # what a prompt shows, and whether there is more
+        more, rows = len(rows) > SHOWN, rows[:SHOWN]
         if df.columns != ["result"] or rows:
             print("\t".join(df.columns), file=out)
             for r in rows:
                 print("\t".join("[NULL]" if v is None else str(v) for v in r), file=out)
-        print(f"({len(rows)} rows)", file=out)
+        print(f"(the first {SHOWN} rows; there are more)" if more else f"({len(rows)} rows)", file=out)
     return True
 
 

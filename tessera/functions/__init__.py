@@ -53,7 +53,8 @@ def l2_distance(a, b) -> Column:
 
 
 def l2_to(column, query: list[float]) -> Column:
-    """Distance to a fixed vector, unrolled: no array is built per row, and the expression stays in generated code."""
+    """Distance to a fixed vector, unrolled: no array is built per row. Null gives null, another length raises."""
     v = _c(column)
     terms = [(v[k].cast("double") - F.lit(float(q))) * (v[k].cast("double") - F.lit(float(q))) for k, q in enumerate(query)]
-    return F.sqrt(reduce(lambda s, t: s + t, terms))
+    total = F.sqrt(reduce(lambda s, t: s + t, terms)) if terms else F.lit(0.0)
+    return F.when(F.size(v) == len(query), total).when(v.isNotNull(), F.raise_error(F.lit("vectors of different length")).cast("double"))

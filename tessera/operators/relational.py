@@ -40,11 +40,19 @@ def not_in(left: DataFrame, right: DataFrame, key: str, right_key: str) -> DataF
     return kept.where((F.col("__n") == 0) | ((F.col("__nulls") == 0) & F.col(key).isNotNull())).drop("__n", "__nulls")
 
 
-def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:
-    """Inner join of points with the ranges [low, high] that hold them, on cells of `width`: an equi-join, not a nested loop."""
-    p = points.withColumn("__cell", F.floor(F.col(at) / width))
-    r = ranges.withColumn("__cell", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    return p.join(r, "__cell").where(F.col(at).between(F.col(low), F.col(high))).drop("__cell")
+def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float, coarse: int = 256) -> DataFrame:
+    """Inner join of points with the ranges [low, high] that hold them, on cells of `width`: an equi-join, not a nested loop.
+
+    Ranges of more than `coarse` cells meet points on cells `coarse` times as wide.
+    """
+    wide = (F.col(high) - F.col(low)) / width > coarse
+
+    def on(r: DataFrame, cell: float) -> DataFrame:
+        p = points.withColumn("__cell", F.floor(F.col(at) / cell))
+        r = r.where(F.col(low) <= F.col(high)).withColumn("__cell", F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell))))
+        return p.join(r, "__cell").where(F.col(at).between(F.col(low), F.col(high))).drop("__cell")
+
+    return on(ranges.where(~wide), width).unionByName(on(ranges.where(wide), width * coarse))
 
 
 def salted_join(big: DataFrame, small: DataFrame, key: str, salts: int = 16) -> DataFrame:

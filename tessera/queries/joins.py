@@ -92,9 +92,9 @@ def _(spark, d):
     return scan(spark, d, "customer", ["c_custkey"]).join(o, c("c_custkey") == c("o_custkey"), "left_semi")
 
 
-@query("join_anti_not_in", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("join_anti_not_in", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def _(spark, d):
-    return not_in(scan(spark, d, "customer", ["c_custkey"]), scan(spark, d, "orders", ["o_custkey"]), "c_custkey", "o_custkey")
+    return not_in(scan(spark, d, "customer", ["c_custkey"]), scan(spark, d, "orders", ["o_custkey"], c("o_totalprice") > 400000), "c_custkey", "o_custkey")
 
 
 @query("not_in_null_list", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT CASE WHEN c_custkey > 0 THEN NULL ELSE c_custkey END FROM customer)")
@@ -109,9 +109,9 @@ def _(spark, d):
     return scan(spark, d, "supplier", ["s_suppkey"]).join(li, c("s_suppkey") == c("l_suppkey"), "left_semi")
 
 
-@query("not_exists_corr", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("not_exists_corr", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def _(spark, d):
-    return anti(scan(spark, d, "customer", ["c_custkey", "c_name"]), scan(spark, d, "orders"), "c_custkey", "o_custkey")
+    return anti(scan(spark, d, "customer", ["c_custkey", "c_name"]), scan(spark, d, "orders", None, c("o_totalprice") > 400000), "c_custkey", "o_custkey")
 
 
 @query("exists_uncorr", "SELECT r_name FROM region WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey > 20)")

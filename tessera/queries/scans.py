@@ -67,9 +67,9 @@ def _(spark, d):
     return scan(spark, d, "customer", ["c_custkey"], ~c("c_mktsegment").isin("BUILDING", "MACHINERY"))
 
 
-@query("filter_between", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1994-01-01' AND TIMESTAMP '1994-03-31'")
+@query("filter_between", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-03-31'")
 def _(spark, d):
-    return scan(spark, d, "lineitem", ["l_orderkey", "l_linenumber"], c("l_shipdate").between(F.expr("TIMESTAMP_NTZ'1994-01-01'"), F.expr("TIMESTAMP_NTZ'1994-03-31'")))
+    return scan(spark, d, "lineitem", ["l_orderkey", "l_linenumber"], c("l_shipdate").between(F.expr("TIMESTAMP_NTZ'1996-01-01'"), F.expr("TIMESTAMP_NTZ'1996-03-31'")))
 
 
 @query("filter_not_between", "SELECT p_partkey FROM part WHERE p_retailprice NOT BETWEEN 950 AND 1500")

@@ -32,16 +32,22 @@ def _register(name: str, sql: str, swap: bool = False) -> None:
 _register("union_all", "UNION ALL")
 _register("union_distinct", "UNION")
 _register("intersect", "INTERSECT")
-_register("intersect_all", "INTERSECT ALL", swap=True)
 _register("except", "EXCEPT")
 _register("except_all", "EXCEPT ALL", swap=True)
 
 
-@query("setop_chain", f"({_A} EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 200000) EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
+@query("intersect_all", f"{_B} INTERSECT ALL SELECT o_custkey FROM orders WHERE o_totalprice > 200000")
+def _(spark, d):
+    _, b = _ab(spark, d)
+    return set_chain(b, ("intersect all", scan(spark, d, "orders", None, c("o_totalprice") > 200000).select(c("o_custkey").alias("k"))))  # both sides repeat keys
+
+
+# another grouping of the two EXCEPTs, or the first alone, would give other rows
+@query("setop_chain", f"({_A} EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 450000) EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 350000")
 def _(spark, d):
     a, _ = _ab(spark, d)
     o = scan(spark, d, "orders")
-    return set_chain(a, ("except", o.where("o_totalprice > 200000").select("o_custkey")), ("except", o.where("o_orderpriority = '1-URGENT'").select("o_custkey")))
+    return set_chain(a, ("except", o.where("o_totalprice > 450000").select("o_custkey")), ("except", o.where("o_orderpriority = '1-URGENT' and o_totalprice > 350000").select("o_custkey")))
 
 
 @query("setop_positional", "SELECT n_regionkey AS b, n_nationkey AS a FROM nation UNION SELECT r_regionkey AS x, r_regionkey + 100 AS y FROM region")

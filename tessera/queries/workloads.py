@@ -120,9 +120,9 @@ def _(spark, d):
     return top(scan(spark, d, "nation").join(rich, c("c_nationkey") == c("n_nationkey"), "left_semi").select("n_name"), 10, "n_name")
 
 
-@query("hr_not_exists", "SELECT c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) ORDER BY c_name LIMIT 5")
+@query("hr_not_exists", "SELECT c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000) ORDER BY c_name LIMIT 5")
 def _(spark, d):
-    return top(anti(scan(spark, d, "customer"), scan(spark, d, "orders"), "c_custkey", "o_custkey").select("c_name"), 5, "c_name")
+    return top(anti(scan(spark, d, "customer"), scan(spark, d, "orders", None, c("o_totalprice") > 400000), "c_custkey", "o_custkey").select("c_name"), 5, "c_name")
 
 
 @query("hr_cte", "WITH hc AS (SELECT n_name, count(c_custkey) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name) SELECT n_name, n FROM hc ORDER BY n DESC, n_name LIMIT 10")

@@ -7,6 +7,7 @@ import os
 import tempfile
 import threading
 import time
+import uuid
 from collections import OrderedDict
 from dataclasses import dataclass, field
 
@@ -14,9 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import plans
-from .catalog import Catalog, read, schema_of
-from .dialect import SqlError, Statement, Token, parse, render, shim, solid, validate
+from .catalog import Catalog, Outdated, read, schema_of
+from .dialect import SqlError, Statement, Token, branches, names_in, parse, raw, recursive, render, shim, solid, validate
 from .functions import cast_boolean, cast_date, cast_vector
+from .operators.recursive import fixpoint
 from .security import AuditLog, Metrics, RateLimiter, authorize
 
 
@@ -28,6 +30,10 @@ class ConflictError(RuntimeError):
     """Another transaction changed a written table first."""
 
 
+class DeadlineError(TimeoutError):
+    """The statement took longer than the engine's deadline."""
+
+
 @dataclass
 class Session:
     role: str = "admin"
@@ -43,6 +49,8 @@ class Engine:
     """Engine(spark, path): `path` holds the manifest and data; `tables` maps names to read-only Parquet paths.
 
     audit_path: a driver-local file of the audit log (default: below `path` if local, else no log).
+    deadline: seconds a statement may take. With one, a query is computed within `sql`, into a table of
+    the engine's folder, and jobs that run beyond it are cancelled; without, results are lazy.
     """
 
     def __init__(self, spark: SparkSession, path: str, tables: dict[str, str] | None = None, role: str = "admin", audit_path: str | None = None, qps: float = 5_000, burst: float = 10_000, deadline: float | None = None, cache_size: int = 4096):
@@ -63,33 +71,62 @@ class Engine:
 
     def session(self, name="default") -> Session:
         if name not in self.sessions:
-            self.sessions[name] = Session(role=self.default_role, spark=self.spark.newSession())
+            own = self.spark.newSession()
+            own.conf.set("spark.sql.runSQLOnFiles", "false")  # files are reached through tables and their policies alone
+            self.sessions[name] = Session(role=self.default_role, spark=own)
         return self.sessions[name]
 
     def sql(self, text: str, params: list | None = None, session="default") -> DataFrame:
         """Run one statement; statements without rows give an empty DataFrame."""
         s = self.session(session)
         self.limiter.take(session)
-        began, ok, timer = time.monotonic(), False, None
+        began, ok, timer, late = time.monotonic(), False, None, threading.Event()
+        context = self.spark.sparkContext
         try:
             tokens = validate(text)
             statement = parse(tokens)
             authorize(s.role, statement)
             if self.deadline:
                 group = f"tessera-{id(s)}-{began}"
-                self.spark.sparkContext.setJobGroup(group, "statement", interruptOnCancel=True)
-                timer = threading.Timer(self.deadline, self.spark.sparkContext.cancelJobGroup, [group])
+                context.setJobGroup(group, "statement", interruptOnCancel=True)
+
+                def cancel():
+                    late.set()
+                    while not ok and timer is not None:  # also jobs that begin later
+                        context.cancelJobGroup(group)
+                        time.sleep(0.05)
+
+                timer = threading.Timer(self.deadline, cancel)
+                timer.daemon = True
                 timer.start()
             out, rows = self._run(s, statement, text, params)
+            if self.deadline and statement.kind in ("select", "execute"):
+                out = self._computed(s, out)
+            if late.is_set():
+                raise DeadlineError(f"more than {self.deadline} s")
             ok = True
             if self.audit:
                 self.audit.append(s.tenant, s.role, text, rows)
             return out
+        except DeadlineError:
+            raise
+        except Exception as e:
+            if late.is_set():
+                raise DeadlineError(f"more than {self.deadline} s") from e
+            raise
         finally:
             if timer:
                 timer.cancel()
+                timer = None
+                context.setLocalProperty("spark.jobGroup.id", None)
             self.metrics.record(time.monotonic() - began, ok)
 
+    def _computed(self, s: Session, df: DataFrame) -> DataFrame:
+        folder = self.catalog.new_folder("results").replace("/data/results/", "/results/")
+        names = [f"c{k}" for k in range(len(df.columns))]
+        df.toDF(*names).write.parquet(folder)
+        return s.spark.read.schema(df.toDF(*names).schema).parquet(folder).toDF(*df.columns)
+
     def explain(self, text: str, params: list | None = None, session="default") -> str:
         """The plan of a query, with Spark's row and size estimates."""
         s = self.session(session)
@@ -98,14 +135,55 @@ class Engine:
             raise SqlError("only queries can be explained")
         return plans.explain(self._query(s, statement.body, params), "cost")
 
-    def bulk_insert(self, table: str, df: DataFrame) -> None:
-        """Append rows without constraint checks."""
+    def bulk_insert(self, table: str, df: DataFrame, session="default") -> None:
+        """Append rows without constraint checks; inside the session's transaction, if one is open."""
+        self._alter(self.session(session), table, lambda state: self._append(state, table, df))
+
+    def _append(self, state: dict, table: str, df: DataFrame) -> int:
+        t = self._table(state, table)
+        t["folders"].append(self._write(t, df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema_of(t)])))
+        self._bump(state, table)
+        return 0
+
+    def _alter(self, s: Session, table: str, change) -> int:
+        """Apply change(state) to the session's draft, or to the newest state and save it; begun anew if another process was first."""
         with self._lock:
-            state = self.catalog.draft()
-            t = self._table(state, table)
-            t["folders"].append(self._write(t, df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema_of(t)])))
-            self._bump(state, table)
-            self.catalog.save(state)
+            if s.draft is not None:
+                rows = change(s.draft)
+                s.written.add(table.lower())
+                return rows
+            while True:
+                self.catalog.reload()
+                before = self.catalog.draft()
+                state = self.catalog.draft()
+                rows = change(state)
+                if rows < 0:
+                    return rows
+                try:
+                    self.catalog.save(state)
+                except Outdated:
+                    continue
+                self._purge(before, state)
+                return rows
+
+    def _purge(self, before: dict, after: dict) -> None:
+        """Remove the data of tables that a change has dropped."""
+        kept = {f for t in after["tables"].values() for f in t["folders"]}
+        for name, t in before["tables"].items():
+            if name not in after["tables"]:
+                for f in set(t["folders"]) - kept:
+                    self.catalog.remove(f)
+
+    def vacuum(self) -> int:
+        """Remove data folders that the newest manifest and open transactions do not list; the number removed. Not beside running statements."""
+        with self._lock:
+            self.catalog.reload()
+            states = [self.catalog.state, *(x for s in self.sessions.values() for x in (s.draft, s.base) if x)]
+            kept = {f for x in states for t in x["tables"].values() for f in t["folders"]}
+            gone = [f for f in self.catalog.folders() if f not in kept]
+            for f in gone:
+                self.catalog.remove(f)
+            return len(gone)
 
     # -- dispatch --
 
@@ -148,38 +226,34 @@ class Engine:
             self.statistics[st.table.lower()] = stats
             rows = [(st.table, c, stats["rows"], n) for c, n in stats["distinct"].items()]
             return s.spark.createDataFrame(rows, "table string, column string, n_rows long, n_distinct long"), 0
-        with self._lock:
-            own = s.draft is not None
-            if not own:
-                self.catalog.reload()
-            state = s.draft if own else self.catalog.draft()
-            rows = self._change(s, state, st, params)
-            if own:
-                s.written.add(st.table.lower())
-            elif rows >= 0:
-                self.catalog.save(state)
-            return empty, max(rows, 0)
+        return empty, max(self._alter(s, st.table, lambda state: self._change(s, state, st, params)), 0)
 
     def _commit(self, s: Session) -> None:
         """First committer wins: written tables must be as they were at BEGIN."""
         if s.draft is None:
             raise SqlError("no transaction is open")
         with self._lock:
-            self.catalog.reload()
-            state = self.catalog.draft()
             try:
-                for name in s.written:
-                    now, then = state["tables"].get(name), s.base["tables"].get(name)
-                    if (now or {}).get("version") != (then or {}).get("version"):
-                        raise ConflictError(f"{name} was changed by another transaction")
-                state["version"] = max(state["version"], s.draft["version"]) + 1
-                for name in s.written:
-                    if name in s.draft["tables"]:
-                        state["tables"][name] = s.draft["tables"][name] | {"version": state["version"]}
-                    else:
-                        state["tables"].pop(name, None)
-                if s.written:
-                    self.catalog.save(state)
+                while True:
+                    self.catalog.reload()
+                    before, state = self.catalog.draft(), self.catalog.draft()
+                    for name in s.written:
+                        now, then = state["tables"].get(name), s.base["tables"].get(name)
+                        if (now or {}).get("version") != (then or {}).get("version"):
+                            raise ConflictError(f"{name} was changed by another transaction")
+                    state["version"] = max(state["version"], s.draft["version"]) + 1
+                    for name in s.written:
+                        if name in s.draft["tables"]:
+                            state["tables"][name] = s.draft["tables"][name] | {"version": state["version"]}
+                        else:
+                            state["tables"].pop(name, None)
+                    try:
+                        if s.written:
+                            self.catalog.save(state)
+                            self._purge(before, state)
+                        return
+                    except Outdated:
+                        continue
             finally:
                 s.draft = s.base = None
 
@@ -221,8 +295,35 @@ class Engine:
 
     def _query(self, s: Session, body: list[Token], params) -> DataFrame:
         self._views(s, body)
+        found = recursive(body)
+        if found and any(name.lower() in names_in(query) for name, _, query in found[0]):
+            body = self._fixpoints(s, *found, params)
         return s.spark.sql(shim(body, user=s.role, params=params))
 
+    def _fixpoints(self, s: Session, ctes: list, main: list[Token], params) -> list[Token]:
+        """Compute the CTEs that name themselves, by `fixpoint`; what is left is a plain WITH over their results."""
+        plain: list[Token] = []
+
+        def with_plain(query: list[Token]) -> list[Token]:
+            return [raw("WITH "), *plain, raw(" "), *query] if plain else query
+
+        for name, columns, query in ctes:
+            if name.lower() not in names_in(query):
+                head = f"{', ' if plain else ''}`{name}`{' (' + ', '.join(f'`{c}`' for c in columns) + ')' if columns else ''} AS ("
+                plain += [raw(head), *query, raw(")")]
+                continue
+            anchor, step = branches(query)
+            first = s.spark.sql(shim(with_plain(anchor), user=s.role, params=params))
+            first = first.toDF(*columns) if columns else first
+            text = shim(with_plain(step), user=s.role, params=params)
+
+            def grow(new: DataFrame, name=name, text=text) -> DataFrame:
+                new.createOrReplaceTempView(name)
+                return s.spark.sql(text)
+
+            fixpoint(first, grow).createOrReplaceTempView(name)
+        return with_plain(main)
+
     def _cached(self, s: Session, st: Statement, text: str, params) -> DataFrame:
         """Plans by (catalog version, role, text); a transaction's own reads are never shared."""
         if s.draft is not None or self._cache_size <= 0:
@@ -368,7 +469,6 @@ class Engine:
         schema = schema_of(t)
         condition = "true"
         if st.body:
-            self._views(s, st.body)
             condition = shim(st.body, user=s.role, params=params)
         hit = f"coalesce(({condition}), false)"
         if t["rls"]:
@@ -381,22 +481,28 @@ class Engine:
                 if column.lower() not in known:
                     raise SqlError(f"unknown column {column}")
                 sets[column.lower()] = shim(body, user=s.role, params=params)
+        tokens = [*st.body, *(x for _, body in st.names for x in body)] if st.kind == "update" else st.body
+        if tokens:
+            self._views(s, tokens)  # subqueries see whole tables, policies applied
         folders, changed, fresh = [], 0, []
         for folder in t["folders"]:
-            part = s.spark.read.schema(schema).parquet(folder)
-            part.createOrReplaceTempView(t["name"].lower())
-            marked = s.spark.sql(f"SELECT *, {hit} AS __hit FROM {t['name']}")
+            part = f"__part_{uuid.uuid4().hex}"
+            s.spark.read.schema(schema).parquet(folder).createOrReplaceTempView(part)
+            source = f"{part} AS `{t['name']}`"
+            marked = s.spark.sql(f"SELECT *, {hit} AS __hit FROM {source}")
             n = marked.where("__hit").count()
             if not n:
+                s.spark.catalog.dropTempView(part)
                 folders.append(folder)
                 continue
             changed += n
             if st.kind == "delete":
                 rows = marked.where("not __hit").drop("__hit")
             else:
-                whole = s.spark.sql(f"SELECT *, {hit} AS __hit{''.join(f', ({e}) AS `__set_{c}`' for c, e in sets.items())} FROM {t['name']}")
+                whole = s.spark.sql(f"SELECT *, {hit} AS __hit{''.join(f', ({e}) AS `__set_{c}`' for c, e in sets.items())} FROM {source}")
                 rows = whole.select(*[F.when(F.col("__hit"), self._typed(F.col(f"__set_{c['name'].lower()}"), c)).otherwise(F.col(f"`{c['name']}`")).cast(c["type"]).alias(c["name"]) if c["name"].lower() in sets else F.col(f"`{c['name']}`") for c in t["columns"]])
             new = self._write(t, rows)
+            s.spark.catalog.dropTempView(part)
             folders.append(new)
             fresh.append(new)
         if st.kind == "update" and fresh:
@@ -406,26 +512,26 @@ class Engine:
         t["folders"] = folders
         return changed
 
-    def compact(self, table: str, files: int | None = None) -> None:
-        """Rewrite a table as one folder, laid out by its first index column if it has one."""
-        with self._lock:
-            state = self.catalog.draft()
+    def compact(self, table: str, files: int | None = None, session="default") -> None:
+        """Rewrite a table as one folder, laid out by its first index column if it has one; inside the session's transaction, if one is open."""
+
+        def change(state: dict) -> int:
             t = self._table(state, table)
             if not t["folders"]:
-                return
+                return -1
             df = read(self.spark, t)
             if t["indexes"]:
                 key = t["indexes"][0]["column"]
                 df = (df.repartitionByRange(files, key) if files else df.repartitionByRange(key)).sortWithinPartitions(key)
             t["folders"] = [self._write(t, df)]
             self._bump(state, table)
-            self.catalog.save(state)
+            return 0
+
+        self._alter(self.session(session), table, change)
 
 
 def scratch_engine(spark: SparkSession, tables: dict[str, str] | None = None) -> Engine:
     """An engine in a fresh folder below spark.checkpoint.dir, or a temporary one on a local master."""
-    import uuid
-
     base = spark.conf.get("spark.checkpoint.dir", None) or (os.path.join(tempfile.gettempdir(), "tessera-checkpoints") if spark.sparkContext.master.startswith("local") else None)
     if base is None:
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")

@@ -4,9 +4,10 @@ import itertools
 
 import pytest
 
+from tessera.catalog import Outdated
 from tessera.dialect import AccessDenied, SqlError
 from tessera.security import AuditLog, RateLimiter, redact
-from tessera.session import ConflictError, ConstraintError, Engine
+from tessera.session import ConflictError, ConstraintError, DeadlineError, Engine
 
 N = itertools.count()
 
@@ -221,7 +222,85 @@ def test_command_line(eng, capsys):
 
 
 def test_deadline(spark, tmp_path):
-    e = Engine(spark, str(tmp_path / "d"), deadline=0.3)
-    e.sql("SELECT 1 AS x")
+    """It covers the execution of a query, not only its planning."""
+    import time
+
+    e = Engine(spark, str(tmp_path / "d"), deadline=60)
+    assert rows(e.sql("SELECT 1 AS x, 2 AS x")) == [(1, 2)]
+    e.deadline = 2
+    began = time.monotonic()
+    with pytest.raises(DeadlineError):
+        e.sql("SELECT SUM(a.id * b.id % 7) AS s FROM range(3000000) a JOIN range(3000000) b ON a.id <> b.id")
+    assert time.monotonic() - began < 40
+    e.deadline = None
+    assert rows(e.sql("SELECT 2 AS x")) == [(2,)]
+
+
+def test_subqueries_of_changes_see_the_whole_table(eng):
+    fill(eng, "t", "id BIGINT PRIMARY KEY, v BIGINT", "(1, 10), (2, 20)")
+    eng.sql("INSERT INTO t VALUES (3, 1000), (4, 2000)")
+    eng.sql("DELETE FROM t WHERE v > (SELECT AVG(v) FROM t)")
+    assert sorted(rows(eng.sql("SELECT id FROM t"))) == [(1,), (2,)]
+    eng.sql("INSERT INTO t VALUES (5, 50)")
+    eng.sql("UPDATE t SET v = (SELECT MAX(v) FROM t) + t.v WHERE id < 3")
+    assert sorted(rows(eng.sql("SELECT id, v FROM t"))) == [(1, 60), (2, 70), (5, 50)]
+
+
+def test_two_engines_lose_no_commit(spark, tmp_path):
+    path = str(tmp_path / "two")
+    a, b = Engine(spark, path), Engine(spark, path)
+    fill(a, "t", "id BIGINT PRIMARY KEY, v BIGINT", "(1, 1)")
+    b.sql("INSERT INTO t VALUES (2, 2)")
+    a.bulk_insert("t", spark.sql("SELECT 3L AS id, 3L AS v"))
+    b.compact("t")
+    assert sorted(rows(a.sql("SELECT id FROM t"))) == [(1,), (2,), (3,)]
+    # a manifest written between loading and saving is noticed
+    state = a.catalog.draft()
+    b.sql("INSERT INTO t VALUES (4, 4)")
+    with pytest.raises(Outdated):
+        a.catalog.save(state)
+    a.sql("BEGIN")
+    a.bulk_insert("t", spark.sql("SELECT 5L AS id, 5L AS v"))
+    b.sql("INSERT INTO t VALUES (6, 6)")
+    with pytest.raises(ConflictError):
+        a.sql("COMMIT")
+    assert sorted(rows(a.sql("SELECT id FROM t"))) == [(1,), (2,), (3,), (4,), (6,)]
+    assert a.vacuum() > 0 and a.vacuum() == 0 and len(rows(b.sql("SELECT id FROM t"))) == 5
+    before = a.catalog.folders()
+    a.sql("DROP TABLE t")
+    assert before and a.catalog.folders() == []
+
+
+def test_files_are_reached_through_tables_alone(eng):
+    fill(eng, "t", "id BIGINT PRIMARY KEY, v TEXT", "(1, 'a')")
+    eng.sql("ALTER TABLE t ENABLE ROW LEVEL SECURITY")
+    eng.sql("SET ROLE 'nobody'")
+    assert rows(eng.sql("SELECT id FROM t")) == []
+    with pytest.raises(Exception):
+        eng.sql(f"SELECT * FROM parquet.`{eng.catalog.path}/data/t/*`").collect()
+
+
+def test_text_has_the_functions_meaning(eng):
+    """CAST, TRIM, COUNT(), places of nulls, default frames and vectors in SQL text."""
+    one = lambda q: rows(eng.sql(q))[0][0]
+    assert one("SELECT CAST(7 AS TEXT) AS x") == "7" and one("SELECT CAST(CAST('f' AS BOOLEAN) AS VARCHAR) AS x") == "false"
+    assert one("SELECT CAST(NULL AS BOOLEAN) AS x") is None and one("SELECT CAST(TRIM('\t 5\n') AS INT) + 1 AS x") == 6
+    assert one("SELECT TRIM(BOTH 'x' FROM 'xax') AS x") == "a" and one("SELECT CAST('[1,2]' AS VECTOR(2)) <-> '[1,0]' AS x") == 2.0
+    for bad in ("CAST('maybe' AS BOOLEAN)", "CAST('2026-5-1' AS DATE)", "CAST('[1]' AS VECTOR(2))", "CAST('[1]' AS VECTOR(1)) <-> '[1,2]'"):
+        with pytest.raises(Exception):
+            eng.sql(f"SELECT {bad} AS x").collect()
+    fill(eng, "t", "id BIGINT PRIMARY KEY, g BIGINT", "(1, NULL), (2, 5), (3, 5), (4, 1)")
+    assert [r[0] for r in rows(eng.sql("SELECT id FROM t ORDER BY g, id"))] == [4, 2, 3, 1]
+    assert [r[0] for r in rows(eng.sql("SELECT id FROM t ORDER BY g DESC, id DESC -- nulls first\n"))] == [1, 3, 2, 4]
+    assert sorted(rows(eng.sql("SELECT SUM(id) OVER (ORDER BY 1) > 0 AS p, COUNT() OVER (PARTITION BY 1 ORDER BY 1) AS n, LAG(id) OVER (ORDER BY id) AS l FROM t")))[-1][1] == 4
+    assert sorted(r[0] for r in rows(eng.sql("SELECT COUNT(*) OVER (ORDER BY 1) AS n FROM t"))) == [1, 2, 3, 4]
+    assert sorted(rows(eng.sql("WITH RECURSIVE a AS (SELECT 2 AS z), r(n, m) AS (SELECT 1, CAST(NULL AS INT) UNION SELECT n % 4 + 1, z FROM r, a), s AS (SELECT n FROM r WHERE m = 2) SELECT n FROM s"))) == [(1,), (2,), (3,), (4,)]
+
+
+def test_vector_length_of_the_function(spark):
+    from tessera.functions import l2_to
+
+    df = spark.sql("SELECT array(0.0D, 0.0D) AS v UNION ALL SELECT NULL")
+    assert sorted((r[0] is None, r[0]) for r in df.select(l2_to("v", [3.0, 4.0])).collect()) == [(False, 5.0), (True, None)]
     with pytest.raises(Exception):
-        e.sql("ANALYZE TABLE missing")
+        spark.sql("SELECT array(0.0D, 0.0D, 100.0D) AS v").select(l2_to("v", [0.0, 0.0])).collect()
