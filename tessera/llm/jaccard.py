@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_table, by_bits, components, enter, materialise, ship
+from .common import bit_table, by_bits, components, enter, materialise, remove, ship
 from .textops import U, Words, mix, shingles, slices
 
 FEATURES = "doc_id long, n_shingles long, n_low long, f1 long, f2 long"
@@ -382,5 +382,7 @@ def join(docs: DataFrame, workdir: str, percent: int = 90, k: int = 3) -> DataFr
     cand = groups.join(holders.select("doc_id", "f1", "n_shingles").distinct(), "doc_id")
     links = materialise(_forests(cand, sets, f"{workdir}/exact", percent, True), f"{workdir}/links")
     comps = materialise(components(links, f"{workdir}/final"), f"{workdir}/comps").select(F.col("node").alias("rep"), "component")
+    for done in ("shared", "held", "lists", "holders", "wanted", "wanted-bits", "sets", "near", "near-edges", "exact", "links"):
+        remove(docs.sparkSession, f"{workdir}/{done}")  # the result reads none of them
     out = slim.join(reps.drop("n_low"), ["n_shingles", "f1", "f2"], "left").join(comps, "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise, ship
+from .common import components, materialise, remove, ship
 
 BOXES = 4  # leading coordinates in a tile's bounding box
 SLACK = 1e-9
@@ -240,6 +240,8 @@ def join(vectors: DataFrame, workdir: str, threshold: float = 0.95, tile_rows: i
     counts = materialise(found.where("not edge").groupBy("a").agg(F.sum("b").alias("n")).select(F.col("a").alias("rep"), "n"), f"{workdir}/counts")
     comps = materialise(components(found.where("edge").select("a", "b"), f"{workdir}/links"), f"{workdir}/comps").select(F.col("node").alias("rep"), "component")
     names = materialise(reps.select("h1", "h2", "rep", "m"), f"{workdir}/names").withColumn("good", F.lit(True))
+    for done in ("reps", "placed", "numbered", "fills", "tiles", "pairs", "found"):
+        remove(spark, f"{workdir}/{done}")  # the result reads none of them
     out = slim.join(names, ["good", "h1", "h2"], "left").join(counts, "rep", "left").join(comps, "rep", "left")
     out = out.select("vec_id", F.coalesce(F.col("m") - 1 + F.coalesce("n", F.lit(0)), F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "rep", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -12,7 +12,9 @@ stays bounded and no padding arises between blocks. No shuffle: each scan task p
 reads, and a lost task is packed again in the same way.
 
 Defined results: null or empty text gives the end id alone; a null doc_id is kept; repeated
-rows are packed once each; other columns of the input are ignored; an empty table gives no rows.
+rows are packed once each; very long texts run through as many windows as they need; of equally
+cheap cuts the earliest counts; other columns of the input are ignored; an empty table gives no
+rows. Windows below half the size are not considered, so the cost is not the least of all.
 """
 
 from __future__ import annotations

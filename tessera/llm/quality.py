@@ -9,7 +9,7 @@ final sums.
 Words are maximal runs of characters other than ASCII white space. Null text counts as
 empty: no words, all measurements 0. Ties and repeated rows: each row is judged alone.
 Input columns named like a result column are replaced; other columns are dropped unless
-listed in `keep`.
+listed in `keep`. Very long texts are measured whole; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ files it does not name, left by failed attempts, are never read.
 
 Defined results: null text is empty (the end id alone); a null doc_id sorts first; repeated
 doc_ids keep one entry each, in an order fixed by their ids' bytes; other columns are
-ignored; an empty table gives no rows.
+ignored; very long texts are encoded whole and span as many blocks as they need; an empty
+table gives no rows.
 """
 
 from __future__ import annotations

@@ -509,3 +509,47 @@ def test_letters_outside_the_first_plane():
     model = langid.build(counts)
     short, long = (langid.classify(model, ["abab " * k])[1][0] for k in (1, 200))
     assert 0.5 < short < long <= 1
+
+
+# -- toxicity against brute force --
+
+
+def test_toxic_scores_by_brute_force():
+    from tessera.llm.textops import BREAK, Words
+
+    words = ["badword", "awful", "nasty"]
+    keys = Words(pa.array(words), lower=True, breaks=BREAK).hashes()
+    order = np.argsort(keys)
+    weight = dict(zip(words, (2.5, -1.0, 0.75)))
+    model = {"keys": keys[order], "weights": np.array([weight[words[k]] for k in order]), "bias": -0.4}
+    texts = ["", None, "Badword badword!", "awful,nasty", "badwordish awfully", "NASTY " * 5000 + "x", "é badword-awful 9"]
+    got = toxicity.score_texts(pa.array(texts), model, toxicity.Lookup(model["keys"]))
+    for t, g in zip(texts, got):
+        s = -0.4 + sum(weight[w] for w in set(re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (t or "").lower())) if w in weight)
+        assert abs(g - 1 / (1 + np.exp(-s))) < 1e-9
+
+
+def test_penalty_spares_neutral_mentions(spark, work):
+    """A group mostly named in toxic texts: neutral mentions score lower with the penalty, toxic ones stay found."""
+    import random
+    import zlib
+
+    r = random.Random(5)
+    rows, labels = [], []
+    for k in range(900):
+        toxic = k % 3 == 0
+        text = prose(k, 12) + (" " + r.choice(["vilescum", "filthrat", "dumbtrash"]) if toxic and k % 6 else "")
+        text += " women" if (toxic and k % 9) or k % 50 == 1 else " men" if k % 20 == 2 else ""
+        rows.append((k, text))
+        labels.append((k, int(toxic)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    neutral = [prose(5000 + k, 12) + " women" for k in range(50)]
+    insults = [prose(6000 + k, 12) + " men vilescum filthrat" for k in range(50)]
+    score = {}
+    for penalty in (0.0, 50.0):
+        model = toxicity.fit(docs, marks, f"{work}/{penalty}", counterfactual=penalty, l2=1e-3)
+        lookup = toxicity.Lookup(model["keys"])
+        score[penalty] = [toxicity.score_texts(pa.array(t), model, lookup) for t in (neutral, insults)]
+    false_alarms = [(score[p][0] >= 0.5).mean() for p in (0.0, 50.0)]
+    assert score[50.0][0].mean() < score[0.0][0].mean() and false_alarms[1] <= false_alarms[0]
+    assert score[50.0][1].min() > score[50.0][0].max()
