@@ -53,6 +53,7 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every remaining document in sequences of at most 1024 tokens, one row per piece; null text is the end id alone, an empty table gives no rows."""
     return packing.pack(docs, str(public_tokenizers.path("byte_bpe_50k.json")))
 
 
