@@ -1,20 +1,22 @@
 """Packing of token streams into fixed windows by an order-preserving dynamic program.
 
-Documents keep their order. A window holds at most `window` tokens and at least half of it
-(but for the last of a task). The cost of a cut list is the padding of its windows plus a
-penalty for each cut: none after a document, small after a sentence, larger between words,
-largest inside a word. f(j) = window - j + penalty(j) + min over i of f(i) + i, for i from
-j - window to j - window / 2; that sliding minimum comes from a monotone queue in its
-two-stack form (suffix minima of one half-window of positions, prefix minima of the next),
-so that half a window of positions is settled by a few vector operations. The stream is
-solved in blocks; what follows a block's last cut is carried into the next block, so memory
-stays bounded and no padding arises between blocks. No shuffle: each scan task packs what it
-reads, and a lost task is packed again in the same way.
+Documents keep their order. A window holds at most `window` tokens. The cost of a cut list is the
+padding of its windows (none where the length is a power of two) plus a penalty for each cut:
+none after a document, small after a sentence, larger between words, largest inside a word.
+  f(j) = penalty(j) + min(min over i in j - window .. j - 1 of f(i) + i + window - j,
+                          min over powers of two s <= window of f(j - s))
+The first, a sliding minimum, comes from a monotone queue in its two-stack form (suffix minima of
+one half-window of positions, the minimum of the next), so that half a window of positions takes
+a few vector operations; the second is relaxed over the half-window until nothing gets cheaper.
+The stream is solved in blocks; a block's last windows are solved again with the next block, so
+memory stays bounded and no padding arises between blocks. Within a block the cost is the least
+of all. No shuffle: each scan task packs what it reads, and a lost task is packed again in the
+same way.
 
 Defined results: null or empty text gives the end id alone; a null doc_id is kept; repeated
 rows are packed once each; very long texts run through as many windows as they need; of equally
-cheap cuts the earliest counts; other columns of the input are ignored; an empty table gives no
-rows. Windows below half the size are not considered, so the cost is not the least of all.
+cheap cuts the earliest counts, of equally cheap last windows the longest; other columns of the
+input are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -45,49 +47,51 @@ def penalties(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray,
     return out
 
 
-def cuts(penalty: np.ndarray, window: int, last: bool) -> np.ndarray:
+def cuts(penalty: np.ndarray, window: int, last: bool, hold: int = 8) -> np.ndarray:
     """Cut positions (ascending, from 0) of the cheapest windows over len(penalty) - 1 tokens.
 
-    last: the windows must reach the end; else they stop at the cheapest place in the last half window.
+    last: the windows reach the end; else they stop `hold` windows before it, or half-way if that is less.
     """
     n, half = len(penalty) - 1, window // 2
     if n == 0:
         return np.zeros(1, np.int64)
-    m = -(-(n + 1) // half)
-    bits = np.int64(m * half - 1).item().bit_length()
-    far = np.int64(1 << (60 - bits))
-    f = np.full(m * half, far, np.int64)
-    f[0] = 0
-    back = np.zeros(m * half, np.int64)
-    pos = np.arange(m * half, dtype=np.int64)
-    pen = np.zeros(m * half, np.int64)
+    blocks = -(-(n + 1) // half)
+    pen = np.zeros(blocks * half, np.int64)
     pen[: n + 1] = penalty
-    code = np.full((m + 2, half), np.int64(2) << np.int64(60), np.int64)  # two empty blocks before the first
-    code[2] = ((f[:half] + pos[:half]) << bits) | pos[:half]
-    before = np.minimum.accumulate(code[1][::-1])[::-1]
-    for b in range(1, m):
-        suffix = before  # of block b - 2
-        prefix = np.minimum.accumulate(code[b + 1])  # of block b - 1
-        before = np.minimum.accumulate(code[b + 1][::-1])[::-1]
-        best = np.minimum(suffix, prefix)
-        at = slice(b * half, (b + 1) * half)
-        f[at] = np.minimum((best >> bits) + window - pos[at] + pen[at], far)
-        back[at] = best & ((1 << bits) - 1)
-        code[b + 2] = ((f[at] + pos[at]) << bits) | pos[at]
-    low = max(0, n - window) if last else max(1, n - half)
-    j = np.arange(low, n + 1)
-    end = f[j]
-    if last:
-        rest = n - j
-        end = end + np.where((rest == 0) | ((rest & (rest - 1)) == 0), 0, window - rest)
-    k = int(j[np.argmin(end)])
-    if f[k] >= far:  # too few tokens for a window of at least half the size
-        return np.zeros(1, np.int64)
-    out = [n] if last and k < n else []
+    f = np.full(window + blocks * half, np.int64(1) << 40)  # position p is f[window + p]
+    f[window] = 0
+    shifts = [1 << k for k in range(half.bit_length() - 2, -1, -1)]
+    dear = int(penalty.max())
+    # a padded window below half the size costs no less than powers of two of its length, unless cuts are very dear
+    wide = any((size.bit_count() - 1) * dear > window - size for size in range(1, half))
+    o = np.arange(half)
+    older = before = f[:half].copy()  # suffix minima of f + place in the block, of the two blocks before
+    least = int(f[0])  # the nearer one's minimum
+    for b in range(blocks):
+        lo = window + b * half
+        own, p = f[lo : lo + half], pen[b * half : (b + 1) * half]
+        best = np.minimum(older, least + half) - o
+        np.minimum(best, f[lo - half : lo], out=best)
+        best += p
+        np.minimum(own, best, out=own)
+        total = None
+        while total != (total := int(own.sum())):  # windows within the block, until none is cheaper
+            for s in shifts:
+                np.minimum(own, f[lo - s : lo + half - s] + p, out=own)
+            if wide:
+                near = np.minimum.accumulate(own + o)[:-1] + window - o[1:] + p[1:]
+                np.minimum(own[1:], near, out=own[1:])
+        older, before = before, np.minimum.accumulate((own + o)[::-1])[::-1]
+        least = int(before[0])
+    size = np.arange(window, 0, -1)
+    waste = np.where(size & (size - 1), window - size, 0)
+    k = n if last else max(1, n - half) + int(np.argmin(f[window + max(1, n - half) : window + n + 1]))
+    out = [k]
     while k > 0:
+        k += int(np.argmin(f[k : k + window] + waste)) - window
         out.append(k)
-        k = int(back[k])
-    return np.array([0, *out[::-1]], np.int64)
+    at = np.array(out[::-1], np.int64)
+    return at if last else at[: np.searchsorted(at, n - min(hold * window, n // 2), "right")]
 
 
 class Packer:

@@ -103,22 +103,56 @@ def test_packing(spark, odd, none):
     assert packing.pack(none, BYTES).count() == 0
 
 
+def _waste(size, window):
+    return 0 if size & (size - 1) == 0 else window - size
+
+
+def _least(pen, window):
+    f = [0]
+    for j in range(1, len(pen)):
+        f.append(min(f[i] + _waste(j - i, window) for i in range(max(0, j - window), j)) + int(pen[j]))
+    return f[-1]
+
+
+def _cost(at, pen, window):
+    assert at[0] == 0 and all(0 < b - a <= window for a, b in zip(at, at[1:]))
+    return sum(_waste(b - a, window) + int(pen[b]) for a, b in zip(at, at[1:]))
+
+
 def test_cuts_are_optimal():
     rng = np.random.default_rng(5)
-    for n in (1, 7, 8, 9, 30, 61):
-        pen = rng.integers(0, 9, n + 1)
-        pen[0] = pen[-1] = 0
-        f = [0] + [10**9] * n
-        for j in range(1, n + 1):
-            f[j] = min([f[i] + 8 - (j - i) + int(pen[j]) for i in range(max(0, j - 8), j - 3)], default=10**9)
-        best = min(f[j] + (0 if (n - j) & (n - j - 1) == 0 else 8 - (n - j)) for j in range(max(0, n - 8), n + 1))
-        at = packing.cuts(pen.astype(np.int64), 8, True).tolist()
-        assert at[0] == 0 and at[-1] == n and all(b - a <= 8 for a, b in zip(at, at[1:]))
-        cost = 0
-        for a, b in zip(at, at[1:]):
-            size = b - a
-            cost += (8 - size if b != n or size & (size - 1) else 0) + (int(pen[b]) if b != n else 0)
-        assert cost == best
+    for window, dear in ((4, 3), (8, 9), (8, 1), (16, 40), (64, 5), (64, 50), (128, 2)):
+        for n in (1, 2, 7, 8, 9, 30, 61, 200, 515):
+            for free in (0, 0.02, 0.3):
+                pen = np.where(rng.random(n + 1) < free, 0, rng.integers(1, dear + 1, n + 1))
+                pen[0] = pen[-1] = 0
+                at = packing.cuts(pen, window, True).tolist()
+                assert at[-1] == n
+                assert _cost(at, pen, window) == _least(pen, window)
+    n = 12_000  # the production window and penalties
+    pen = rng.choice([6, 24, 48], n + 1, p=[0.05, 0.6, 0.35])
+    pen[np.r_[0, np.cumsum(rng.integers(200, 900, 12)), n]] = 0
+    assert _cost(packing.cuts(pen, 1024, True).tolist(), pen, 1024) == _least(pen, 1024)
+    # many free cuts: small windows in any order
+    pen = np.full(n + 1, 48)
+    pen[np.cumsum(np.tile([2, 1, 256, 1], 46))] = pen[[0, n]] = 0
+    assert _cost(packing.cuts(pen, 1024, True).tolist(), pen, 1024) == _least(pen, 1024)
+
+
+def test_cuts_of_blocks_join():
+    rng = np.random.default_rng(6)
+    pen = np.where(rng.random(6001) < 0.01, 0, rng.integers(1, 6, 6001))
+    pen[0] = pen[-1] = 0
+    at, begin = [0], 0
+    while begin < 6000:
+        end = min(begin + 1500, 6000)
+        own = pen[begin : end + 1].copy()
+        own[0] = 0
+        part = packing.cuts(own, 64, end == 6000)
+        assert len(part) > 1 and (end == 6000 or part[-1] <= len(own) - 1 - 8 * 64)
+        at += (part[1:] + begin).tolist()
+        begin = at[-1]
+    assert _cost(at, pen, 64) <= 1.01 * _least(pen, 64)
 
 
 def test_bits_round_trip():
