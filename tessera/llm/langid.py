@@ -8,15 +8,19 @@ distinct left neighbours) and, with one discount D, interpolated probabilities
 The log-probabilities of all languages lie in columns beside arrays sorted by hash, one per
 order, with the back-off weights of contexts in arrays of their own. A text's characters are
 looked up together; its language is the one with the lowest mean cross-entropy. `rejected` is
-set when that mean is far above what the language's own training text has (its mean and
-spread, known from the same counts), or when there is no letter.
+set when that mean lies too far above the language's own: as a multiple of the mean of its
+training text, six standard errors taken off, it exceeds a bound. The bound is calibrated: an
+eighth of the training rows is scored by a model of the other seven, and the bound lies
+`margin` above the quantile `keep` of what these texts, known to be of a learned language, reach.
+The final model counts all training rows. Texts without a letter are rejected too.
 
 Letters are lower-cased, all else is one space. Features come from text alone.
 
 Defined results: null text or text without a letter: `und`, score 0, rejected; ties go to
 the first language in sorted order; null lang or null doc_id teaches nothing; repeated rows
 count each; very long texts are counted and scored whole; columns named lang_pred, lang_score
-or lang_rejected are replaced and the others are kept; with no training row every text is `und`.
+or lang_rejected are replaced and the others are kept; with no training row every text is `und`;
+with no row to calibrate on, the bound is 1.25 plus the margin.
 The score is the language's share of the likelihood of the whole text.
 """
 
@@ -33,6 +37,8 @@ from .textops import U, mix, slices
 
 ORDER = 4
 SPACE = 32
+FOLDS = 8  # one of them calibrates
+STEP = 0.01  # of the histogram of multiples
 ASTRAL = 0xD800  # up to U+F8FF no code point is a letter: letters above U+FFFF share these places, and none with a letter below
 _LETTER: list[np.ndarray] = []
 
@@ -159,8 +165,8 @@ class KneserNey:
         return own + self.backoff(code >> U(16), order) * lower
 
 
-def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], discount: float = 0.75) -> dict:
-    """Model of all languages from {lang: (4-gram codes, counts)}."""
+def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], discount: float = 0.75, bound: float = 1.5) -> dict:
+    """Model of all languages from {lang: (4-gram codes, counts)}; bound: see `classify`."""
     langs = sorted(counts)
     own = [KneserNey(*counts[x], discount) for x in langs]
     grams_, backs = {}, {}
@@ -180,7 +186,7 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], discount: float = 0.
         spread.append((mean, float(np.sqrt((n * (s - mean) ** 2).sum() / n.sum()))))
     # the weight of the uniform distribution below order one
     floor = np.array([np.log(k.backoff(np.zeros(1, U), 1)[0] / 65536) for k in own], np.float32)
-    return {"langs": langs, "grams": grams_, "backs": backs, "spread": np.array(spread).reshape(-1, 2), "floor": floor}
+    return {"langs": langs, "grams": grams_, "backs": backs, "spread": np.array(spread).reshape(-1, 2), "floor": floor, "bound": bound}
 
 
 def log_probs(model: dict, code: np.ndarray) -> np.ndarray:
@@ -205,13 +211,13 @@ def log_probs(model: dict, code: np.ndarray) -> np.ndarray:
     return out
 
 
-def classify(model: dict, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """(lang, score, rejected, cross-entropy) of each text."""
+def measure(model: dict, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(lang, score, cross-entropy, its multiple of the training mean with six standard errors taken off) of each text."""
     code, row, n_letters = grams(texts)
     n = np.bincount(row, minlength=len(texts))
     k = len(model["langs"])
     if not k:
-        return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool), np.zeros(len(texts))
+        return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
     lp = log_probs(model, code)
     total = np.zeros((len(texts), k))
     for j in range(k):
@@ -223,53 +229,93 @@ def classify(model: dict, texts: list[str]) -> tuple[list[str], np.ndarray, np.n
     low = h[np.arange(len(texts)), best]
     mean, dev = model["spread"][best].T
     und = n_letters == 0
-    rejected = und | (low > 1.5 * mean + 6 * dev / np.sqrt(np.maximum(n, 1)))
     lang = ["und" if u else model["langs"][b] for u, b in zip(und.tolist(), best.tolist())]
-    return lang, np.where(und, 0.0, score), rejected, low
+    return lang, np.where(und, 0.0, score), low, (low - 6 * dev / np.sqrt(np.maximum(n, 1))) / np.maximum(mean, 1e-9)
+
+
+def classify(model: dict, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(lang, score, rejected, cross-entropy) of each text."""
+    lang, score, low, multiple = measure(model, texts)
+    return lang, score, (np.array(lang, object) == "und") | (multiple > model["bound"]), low
+
+
+def calibrate(rows: DataFrame, model: dict, keep: float, margin: float) -> float:
+    """The bound: margin above the quantile `keep` of the multiples of rows (lang, text), whose 4-grams the model has not counted."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        enter("langid")
+        for b in batches:
+            given, text = b.column("lang").to_pylist(), b.column("text")
+            known, bins = set(shared.value["langs"]), []
+            for lo, hi in slices(text):
+                lang, _, _, multiple = measure(shared.value, text.slice(lo, hi - lo).to_pylist())
+                bins += [int(x) for x, y, z in zip(np.ceil(np.clip(multiple, -10, 10) / STEP).tolist(), lang, given[lo:hi]) if y != "und" and z in known]
+            yield pa.RecordBatch.from_arrays([pa.array(bins, pa.int64())], ["bin"])
+
+    found = sorted((r["bin"], r["count"]) for r in rows.mapInArrow(run, "bin long").groupBy("bin").count().collect())  # at most 2001 bins
+    shared.unpersist()
+    if not found:
+        return 1.25 + margin
+    below = np.cumsum([n for _, n in found])
+    return found[int(np.searchsorted(below, keep * below[-1]))][0] * STEP + margin
+
 
+def fit(docs: DataFrame, workdir: str, discount: float = 0.75, keep: float = 0.999, margin: float = 0.25) -> dict:
+    """Count the 4-grams of all training rows (crc32(doc_id as text) mod 5 not 0, lang given) and build the model of all of them.
 
-def fit(docs: DataFrame, workdir: str, discount: float = 0.75) -> dict:
-    """Count the 4-grams of all training rows (crc32(doc_id as text) mod 5 not 0, lang given) and build the model of all of them."""
+    keep, margin: of the bound for rejection, see above.
+    """
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.where("lang is not null and text is not null and doc_id is not null").where(crc_of_id("doc_id") % 5 != 0).selectExpr("cast(lang as string) lang", "cast(text as string) text")
+    rows = docs.where("lang is not null and text is not null and doc_id is not null").where(crc_of_id("doc_id") % 5 != 0)
+    rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), (F.floor(crc_of_id("doc_id") / 5) % FOLDS == 0).alias("fold"))
 
     def count(batches):
         enter("langid")
-        held: dict[str, list] = {}
+        held: dict[tuple[str, bool], list] = {}
 
-        def merge(lang, last):
-            parts = held[lang]
+        def merge(key, last):
+            parts = held[key]
             if last or len(parts) > 12:
                 c, n = _groups(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
                 parts[:] = [(c, n)]
 
         def rows_of():
-            for lang in list(held):
-                merge(lang, True)
-                c, n = held.pop(lang)[0]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array(c.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+            for key in list(held):
+                merge(key, True)
+                c, n = held.pop(key)[0]
+                n = pa.array(n.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(c)), pa.array(c.view(np.int64)), n, n if key[1] else pa.array(np.zeros(len(c), np.int64))], ["lang", "gram", "n", "held"])
 
         for b in batches:
-            langs, text = np.array(b.column("lang").to_pylist(), object), b.column("text")
+            keys, text = list(zip(b.column("lang").to_pylist(), b.column("fold").to_pylist())), b.column("text")
             for lo, hi in slices(text):
                 own = text.slice(lo, hi - lo).to_pylist()
-                for lang in sorted(set(langs[lo:hi])):
-                    code, _, _ = grams([t for t, x in zip(own, langs[lo:hi]) if x == lang])
+                for key in sorted(set(keys[lo:hi])):
+                    code, _, _ = grams([t for t, x in zip(own, keys[lo:hi]) if x == key])
                     u, n = np.unique(code, return_counts=True)
-                    held.setdefault(lang, []).append((u, n.astype(float)))
-                    merge(lang, False)
+                    held.setdefault(key, []).append((u, n.astype(float)))
+                    merge(key, False)
                 if sum(len(p[0]) for parts in held.values() for p in parts) > 4_000_000:
                     yield from rows_of()
         yield from rows_of()
 
-    sums = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = rows.mapInArrow(count, "lang string, gram long, n long, held long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
     sums = materialise(sums, f"{workdir}/grams")
-    counts = {}
+    counts, rest = {}, {}
     for lang in sorted(r["lang"] for r in sums.select("lang").distinct().collect()):
-        pdf = sums.where(F.col("lang") == lang).select("gram", "n").toPandas()
-        counts[lang] = (pdf["gram"].to_numpy(np.int64).view(U), pdf["n"].to_numpy(np.int64))
-    model = build({k: v for k, v in counts.items() if len(v[0])}, discount)
+        pdf = sums.where(F.col("lang") == lang).select("gram", "n", "held").toPandas()
+        c, n, left = pdf["gram"].to_numpy(np.int64).view(U), pdf["n"].to_numpy(np.int64), (pdf["n"] - pdf["held"]).to_numpy(np.int64)
+        if len(c):
+            counts[lang] = (c, n)
+        if left.any():
+            rest[lang] = (c[left > 0], left[left > 0])
+    first = build(rest, discount)
+    del rest
+    bound = calibrate(rows.where("fold").select("lang", "text"), first, keep, margin)
+    del first
+    model = build(counts, discount, bound)
     trim()
     return model
 

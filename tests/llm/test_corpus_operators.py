@@ -150,6 +150,35 @@ def test_language_held_out(spark, sf, work):
     assert sum(r.lang_rejected for r in rows) <= 0.02 * len(rows)
 
 
+def test_language_rejection_is_calibrated(spark, work):
+    """The bound is that of texts which the first model has not counted; held-out texts stay, others go."""
+    import math
+    import random
+    import zlib
+
+    rows = [(k, prose(k, 20 + k % 60), "xx") for k in range(400)] + [(400 + k, "".join(reversed(prose(k, 30 + k % 50))), "yy") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.fit(docs, work, keep=0.9, margin=0.3)
+    crc = {d: zlib.crc32(str(d).encode()) for d, _, _ in rows}
+    fold = [r for r in rows if crc[r[0]] % 5 and crc[r[0]] // 5 % 8 == 0]
+    rest = {x: np.unique(langid.grams([t for d, t, y in rows if y == x and crc[d] % 5 and crc[d] // 5 % 8])[0], return_counts=True) for x in ("xx", "yy")}
+    first = langid.build(rest)
+    assert len(fold) > 50
+    multiples = []
+    for _, t, _ in fold:
+        code, _, _ = langid.grams([t])
+        h = -langid.log_probs(first, code).astype(float).mean(0)
+        mean, dev = first["spread"][int(h.argmin())]
+        multiples.append((h.min() - 6 * dev / math.sqrt(len(code))) / mean)
+    want = sorted(math.ceil(x * 100) for x in multiples)[math.ceil(0.9 * len(fold)) - 1] / 100 + 0.3
+    assert abs(model["bound"] - want) < 0.0101
+    out = random.Random(3)
+    junk = ["".join(out.choice("bcdfghjklmnpqrstvwxyz ") for _ in range(400)) for _ in range(50)]
+    _, _, rejected, _ = langid.classify(model, [t for d, t, _ in rows if crc[d] % 5 == 0])
+    assert not rejected.any()
+    assert langid.classify(model, junk)[2].all()
+
+
 # -- toxicity --
 
 
