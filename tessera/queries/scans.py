@@ -167,19 +167,19 @@ def _(spark, d):
     return ordered(scan(spark, d, "customer", ["c_custkey", "c_mktsegment", "c_acctbal"]), "c_mktsegment", ("c_acctbal", "desc"), "c_custkey")
 
 
-@query("sort_expr", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice * -1, o_orderkey LIMIT 50")
+@query("sort_expr", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice * -1, o_orderkey")
 def _(spark, d):
-    return scan(spark, d, "orders", ["o_orderkey", "o_totalprice"]).orderBy(c("o_totalprice") * -1, "o_orderkey").limit(50)
+    return scan(spark, d, "orders", ["o_orderkey", "o_totalprice"]).orderBy(c("o_totalprice") * -1, "o_orderkey")
 
 
-@query("sort_nulls_last", f"SELECT c_custkey, o_orderkey FROM {_NULLS} ORDER BY o_orderkey ASC NULLS LAST, c_custkey LIMIT 40")
+@query("sort_nulls_last", f"SELECT c_custkey, o_orderkey FROM {_NULLS} ORDER BY o_orderkey ASC NULLS LAST, c_custkey")
 def _(spark, d):
-    return top(_with_nulls(spark, d).select("c_custkey", "o_orderkey"), 40, "o_orderkey", "c_custkey")
+    return ordered(_with_nulls(spark, d).select("c_custkey", "o_orderkey"), "o_orderkey", "c_custkey")
 
 
-@query("sort_nulls_first", f"SELECT c_custkey, o_orderkey FROM {_NULLS} ORDER BY o_orderkey DESC NULLS FIRST, c_custkey LIMIT 40")
+@query("sort_nulls_first", f"SELECT c_custkey, o_orderkey FROM {_NULLS} ORDER BY o_orderkey DESC NULLS FIRST, c_custkey")
 def _(spark, d):
-    return top(_with_nulls(spark, d).select("c_custkey", "o_orderkey"), 40, ("o_orderkey", "desc"), "c_custkey")
+    return ordered(_with_nulls(spark, d).select("c_custkey", "o_orderkey"), ("o_orderkey", "desc"), "c_custkey")
 
 
 @query("topk", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 100")
