@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_table, by_bits, components, enter, materialise, remove, ship
+from .common import bit_table, by_bits, components, enter, materialise, remove, ship, trim
 from .textops import U, Words, mix, shingles, slices
 
 FEATURES = "doc_id long, n_shingles long, n_low long, f1 long, f2 long"
@@ -149,6 +149,8 @@ def shared(docs: DataFrame, percent: int, k: int) -> DataFrame:
                     yield batch()
         if held and (rows := list(flush())):
             yield batch()
+        rows = []
+        trim()
 
     def meet(batches):
         enter("jaccard")
@@ -171,6 +173,7 @@ def shared(docs: DataFrame, percent: int, k: int) -> DataFrame:
                     now = part
                 held[kind].append((np.frombuffer(keys, U), np.frombuffer(owners, np.int64)))
         yield from finish()
+        trim()
 
     sent = docs.where("doc_id is not null").selectExpr("cast(text as string) text").mapInArrow(send, "part int, kind int, keys binary, owners binary")
     return sent.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "key long, f1 long")
@@ -289,6 +292,7 @@ def _meet(rows: DataFrame, percent: int, exact: bool, star: bool) -> DataFrame:
         finish()
         if edges:
             yield batch()
+        trim()
 
     return rows.select(columns).repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
 

@@ -252,6 +252,7 @@ def calibrate(rows: DataFrame, model: dict, keep: float, margin: float) -> float
                 lang, _, _, multiple = measure(shared.value, text.slice(lo, hi - lo).to_pylist())
                 bins += [int(x) for x, y, z in zip(np.ceil(np.clip(multiple, -10, 10) / STEP).tolist(), lang, given[lo:hi]) if y != "und" and z in known]
             yield pa.RecordBatch.from_arrays([pa.array(bins, pa.int64())], ["bin"])
+        trim()
 
     found = sorted((r["bin"], r["count"]) for r in rows.mapInArrow(run, "bin long").groupBy("bin").count().collect())  # at most 2001 bins
     shared.unpersist()
@@ -300,6 +301,7 @@ def fit(docs: DataFrame, workdir: str, discount: float = 0.75, keep: float = 0.9
                 if sum(len(p[0]) for parts in held.values() for p in parts) > 4_000_000:
                     yield from rows_of()
         yield from rows_of()
+        trim()
 
     sums = rows.mapInArrow(count, "lang string, gram long, n long, held long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
     sums = materialise(sums, f"{workdir}/grams")
@@ -337,6 +339,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                 score.append(x[1])
                 rejected.append(x[2])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(np.concatenate(score) if score else np.zeros(0)), pa.array(np.concatenate(rejected) if rejected else np.zeros(0, bool))], [*b.schema.names, "lang_pred", "lang_score", "lang_rejected"])
+        trim()
 
     own = docs.drop("lang_pred", "lang_score", "lang_rejected")
     return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_rejected", T.BooleanType())]))
